@@ -5,11 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import leakage, packing, ranking, truncation
+from codeloom.llm import docpairs, leakage, packing, provenance, ranking, truncation
+from codeloom.functions.languages import EXTENSIONS
 from codeloom.operators.skew import join_split_hot
 from codeloom.session import read_table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.pair_nodes(read_table(spark, sf_dir, "ast_nodes")).select("node_id").distinct()
+
+
+def p3_file_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documented functions of all source files, with the lines they span and the size of their documentation."""
+    pairs = docpairs.pair_files(read_table(spark, sf_dir, "processed_files"), EXTENSIONS)
+    return pairs.select("file_path", "name", "start_line", "end_line", F.length("code").alias("code_chars"), F.length("documentation").alias("doc_chars"))
+
+
+def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of files of each kind per repository."""
+    kinds = provenance.classify_files(read_table(spark, sf_dir, "processed_files"))
+    return kinds.groupBy("repo", "kind").agg(F.count_distinct("file_path").alias("n_files"))
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, chunk_id, symbol_id, criterion, score): backends, newest PageRank of the symbol, confidence of its edges."""
     hits = read_table(spark, sf_dir, "search_results").withColumn("symbol_id", F.trim("symbol_id"))
@@ -66,7 +83,7 @@ def p10_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_report(truncation.judge_ends(read_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p5_ranking": p5_ranking, "p5_quality": p5_quality, "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_report": p10_report}
+QUERIES = {"p3_found": p3_found, "p3_file_pairs": p3_file_pairs, "p6_kinds": p6_kinds, "p5_ranking": p5_ranking, "p5_quality": p5_quality, "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_report": p10_report}
 
 _GRAMS = r"""
 WITH texts AS (
