@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.wellformed import check_files
 from codeloom.operators.skew import join_split_hot
 from codeloom.session import cut_lineage
 
@@ -161,6 +162,17 @@ def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"file_path": columns[0], "repo": batch["repo"].tolist(), "banner": columns[1], "folder": columns[2], "shape": columns[3], "prints": columns[4]})
 
 
+def not_hand_written(files: DataFrame, languages: dict[str, str]) -> DataFrame:
+    """(file_path, kind) of the files that are not hand-written, without those that do not parse (broken files are no cases).
+
+    Only the flagged files are parsed; everything else is as in ``classify_files``.
+    """
+    flagged = classify_files(files).where("kind != 'hand-written'").select("file_path", "kind").distinct()
+    suspects = files.select("file_path", "repo", "content").join(flagged.select("file_path").distinct(), "file_path", "left_semi")
+    broken = check_files(suspects, languages).where("reason is not null").select("file_path").distinct()
+    return flagged.join(broken, "file_path", "left_anti")
+
+
 def classify_files(files: DataFrame) -> DataFrame:
     """(file_path, repo, kind, copy_share): kind is generated, minified, vendored, data or hand-written.
 

@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import docpairs, leakage, packing, provenance, ranking, truncation
+from codeloom.llm import docpairs, leakage, packing, provenance, ranking, truncation, wellformed
 from codeloom.functions.languages import EXTENSIONS
 from codeloom.operators.skew import join_split_hot
 from codeloom.session import read_table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = wellformed.check_files(read_table(spark, sf_dir, "processed_files"), EXTENSIONS)
+    return checked.where("reason is not null").select("file_path").distinct()
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of files that do not parse, per repository and language."""
+    return wellformed.error_rates(wellformed.check_files(read_table(spark, sf_dir, "processed_files"), EXTENSIONS))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.pair_nodes(read_table(spark, sf_dir, "ast_nodes")).select("node_id").distinct()
 
@@ -21,6 +31,10 @@ def p3_file_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("file_path", "name", "start_line", "end_line", F.length("code").alias("code_chars"), F.length("documentation").alias("doc_chars"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.not_hand_written(read_table(spark, sf_dir, "processed_files"), EXTENSIONS).select("file_path").distinct()
+
+
 def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of files of each kind per repository."""
     kinds = provenance.classify_files(read_table(spark, sf_dir, "processed_files"))
@@ -83,7 +97,7 @@ def p10_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_report(truncation.judge_ends(read_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p3_found": p3_found, "p3_file_pairs": p3_file_pairs, "p6_kinds": p6_kinds, "p5_ranking": p5_ranking, "p5_quality": p5_quality, "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_report": p10_report}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p6_found": p6_found, "p3_found": p3_found, "p3_file_pairs": p3_file_pairs, "p6_kinds": p6_kinds, "p5_ranking": p5_ranking, "p5_quality": p5_quality, "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_report": p10_report}
 
 _GRAMS = r"""
 WITH texts AS (
