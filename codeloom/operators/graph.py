@@ -164,7 +164,7 @@ def topological_order(edges: DataFrame, edge_type: str | None = "import") -> Dat
                     heapq.heappush(ready, t)
         return pd.DataFrame({"position": range(1, len(out) + 1), "symbol_id": out})
 
-    return links.groupBy(F.lit(1)).applyInPandas(order, "position bigint, symbol_id string")
+    return links.withColumn("graph", F.lit("all")).groupBy("graph").applyInPandas(order, "position bigint, symbol_id string")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

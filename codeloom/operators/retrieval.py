@@ -110,13 +110,16 @@ def merge_hits(vector_hits: DataFrame, text_hits: DataFrame, scale: bool = True)
     return dedup_location(both, ["source", "chunk_id"]).withColumn("source", F.substring("source", 3, 10))
 
 
-def rank_fusion(lists: DataFrame, k: int = 60, list_id: str = "list_id", item: str = "item_id", score: str = "score") -> DataFrame:
-    """(item, fused, n_lists): reciprocal ranks 1 / (k + rank) summed over lists, in order of (fused descending, item).
+def rank_fusion(lists: DataFrame, k: int = 60, list_id: str = "list_id", item: str = "item_id", score: str = "score", group: str | None = None) -> DataFrame:
+    """(group?, item, fused, n_lists): reciprocal ranks 1 / (k + rank) summed over the lists (of one query, or per ``group``).
 
-    Ranks follow the score within a list, ties by item. Lists are result lists of a search, at most a few hundred rows each.
+    Ranks follow the score within a list, ties by item; of an item that a list holds several times the best row counts, null
+    scores rank last. Order results by (fused descending, item). Lists are bounded by the limit of the search that made them.
     """
-    ranked = lists.withColumn("_r", F.row_number().over(Window.partitionBy(list_id).orderBy(F.col(score).desc(), F.col(item))))
-    return ranked.groupBy(item).agg(F.sum(1.0 / (k + F.col("_r"))).alias("fused"), F.count(F.lit(1)).alias("n_lists")).orderBy(F.col("fused").desc(), F.col(item))
+    keys = [group] if group else []
+    best = lists.groupBy(*keys, list_id, item).agg(F.max(score).alias("_s"))
+    ranked = best.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, list_id).orderBy(F.col("_s").desc_nulls_last(), F.col(item))))
+    return ranked.groupBy(*keys, item).agg(F.sum(1.0 / (k + F.col("_r"))).alias("fused"), F.count(F.lit(1)).alias("n_lists"))
 
 
 def finish(results: DataFrame, limit: int = 10, key: str = "chunk_id") -> DataFrame:

@@ -50,7 +50,7 @@ def language_counts(files: DataFrame) -> DataFrame:
 
 def stale_files(files: DataFrame, limit: int | None = None) -> DataFrame:
     """(file_path, stale_seconds) of files changed after they were indexed, most stale first, ties by path."""
-    age = F.col("modified_time") - F.unix_micros("indexed_at") / F.lit(1e6)
+    age = F.col("modified_time") - F.unix_micros(F.col("indexed_at").cast("timestamp")) / F.lit(1e6)
     out = files.select("file_path", F.round(age, 3).alias("stale_seconds")).where("stale_seconds > 0").orderBy(F.col("stale_seconds").desc(), "file_path")
     return out.limit(limit) if limit else out
 

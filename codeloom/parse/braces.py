@@ -10,6 +10,7 @@ import re
 from bisect import bisect_right
 
 _SKIP = re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`")
+_SKIP_SCRIPT = re.compile(_SKIP.pattern + r"|(?:(?<=[=(,:;!&|?\[])|(?<=[=(,:;!&|?\[] )|(?<=return ))/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
 _CONTROL = frozenset("if for while switch catch do else try finally synchronized return throw new case select with function".split())
 _CLASS = {
     "javascript": re.compile(r"\bclass\s+(?P<name>[\w$]+)(?:\s+extends\s+(?P<bases>[\w$.]+))?[^{};]*$"),
@@ -45,9 +46,9 @@ def _family(language: str) -> str:
     return "cpp" if language == "c" else language
 
 
-def blank(text: str) -> str:
-    """Comments and string contents as blanks, line by line as long as before."""
-    return _SKIP.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+def blank(text: str, family: str = "") -> str:
+    """Comments and literals as blanks, line by line as long as before."""
+    return (_SKIP_SCRIPT if family in ("javascript", "typescript") else _SKIP).sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
 
 
 def _blocks(bare: str) -> list[tuple[int, int, int, str]]:
@@ -99,7 +100,8 @@ def _doc_above(text: str, line: int, name: str) -> str | None:
 
 def _symbols(text: str, language: str) -> list[tuple]:
     """(kind, name, head position, closing position, owner, bases) of classes, functions and methods."""
-    family, bare = _family(language), blank(text)
+    family = _family(language)
+    bare = blank(text, family)
     found: list[tuple] = []
     open_: list[tuple] = []  # (closing position, kind, name)
     for start, brace, end, head in _blocks(bare):
@@ -151,7 +153,8 @@ def definitions(text: str, language: str) -> list[tuple]:
 
 def references(text: str, language: str) -> list[tuple]:
     """(name, ref_type, line, parent_symbol): imports, base classes, calls, constructions and named types."""
-    family, bare = _family(language), blank(text)
+    family = _family(language)
+    bare = blank(text, family)
     starts = [0, *(m.end() for m in re.finditer("\n", text))]
     symbols = sorted(_symbols(text, language), key=lambda s: s[2])
     declared = {(s[1], bisect_right(starts, s[2])) for s in symbols}
