@@ -28,7 +28,7 @@ _SIGNATURES = {
         r"^(?P<lead>[ \t]*)(?:"
         r"(?:(?:export|default|async|public|private|protected|static|pub|unsafe|inline|extern|override|open|final|fun|fn|func|function\b\*?)[ \t]+)*(?:func|function|fn|fun|def)\b\*?[ \t]*(?:\([^()]*\)[ \t]*)?(?P<name>[\w$]+)[ \t]*(?:<[^<>]*>|\[[^\[\]]*\])?[ \t]*\("
         r"|(?:export[ \t]+)?(?:const|let|var)[ \t]+(?P<arrow>[\w$]+)[ \t]*(?::[^=]+)?=[ \t]*(?:async[ \t]*)?(?:function\b|\([^()]*\)[ \t]*(?::[^=]+)?=>|[\w$]+[ \t]*=>)"
-        r"|(?:@\w+[ \t]+)*(?:[\w$<>\[\],.?&*:~]+[ \t*&]+)*?(?P<method>~?#?[\w$]+)[ \t]*\((?=[^;]*$|[^;]*\{))"
+        r"|(?:@\w+[ \t]+)*(?:[\w$<>\[\],.?&*:~]+[ \t]+)*?[*&]*(?P<method>~?#?[\w$]+)[ \t]*\((?=[^;]*$|[^;]*\{))"
     ),
 }
 _PY_STRING = re.compile(r"[ \t]*[rRbBuUfF]{0,2}(\"\"\"|'''|\"|')")
@@ -91,7 +91,7 @@ def _body_end(lines: list[str], first: int, family: str) -> int:
                 break
             at += 1
         lead = len(lines[first]) - len(lines[first].lstrip())
-        last = at
+        at = last = min(at, len(lines) - 1)
         for k in range(at + 1, len(lines)):
             if lines[k].strip():
                 if len(lines[k]) - len(lines[k].lstrip()) <= lead:
@@ -125,7 +125,7 @@ def _body_end(lines: list[str], first: int, family: str) -> int:
 def _opening_string(lines: list[str], blank: list[str], first: int, last: int) -> str:
     """The string that is the first statement below a Python signature."""
     depth, at = 0, first
-    while at <= last:
+    while at <= min(last, len(blank) - 1):
         depth += sum(blank[at].count(c) for c in "([{") - sum(blank[at].count(c) for c in ")]}")
         if depth <= 0 and blank[at].rstrip().endswith(":"):
             break

@@ -170,10 +170,14 @@ def build_tables(text: str) -> dict:
 
 def _paths(node: list, length: int, link: tuple | None) -> list[list]:
     """Ends of the paths of ``length`` links down from ``node``; with ``link``, only of those that use it."""
-    ends = [(node, link is None)]
+    ends = {(id(node), link is None): node}
     for _ in range(length):
-        ends = [(below, used or at is link[0] and below is link[1]) for at, used in ends for below in at[1]]
-    return [at for at, used in ends if used]
+        below: dict = {}
+        for (_, used), at in ends.items():
+            for base in at[1]:
+                below[id(base), used or at is link[0] and base is link[1]] = base
+        ends = below
+    return [at for (_, used), at in ends.items() if used]
 
 
 class Recogniser:
