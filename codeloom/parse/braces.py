@@ -11,6 +11,8 @@ from bisect import bisect_right
 
 _SKIP = re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`")
 _SKIP_SCRIPT = re.compile(_SKIP.pattern + r"|(?:(?<=[=(,:;!&|?\[])|(?<=[=(,:;!&|?\[] )|(?<=return ))/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+#: What stands before a brace declares something only within so many characters.
+HEAD_CHARS = 4000
 _CONTROL = frozenset("if for while switch catch do else try finally synchronized return throw new case select with function".split())
 _CLASS = {
     "javascript": re.compile(r"\bclass\s+(?P<name>[\w$]+)(?:\s+extends\s+(?P<bases>[\w$.]+))?[^{};]*$"),
@@ -107,7 +109,7 @@ def _symbols(text: str, language: str) -> list[tuple]:
     for start, brace, end, head in _blocks(bare):
         while open_ and open_[-1][0] < brace:
             open_.pop()
-        flat = re.sub(r"\s+", " ", head).strip()
+        flat = re.sub(r"\s+", " ", head[-HEAD_CHARS:]).strip()
         flat = flat.rsplit("; ", 1)[-1] if family != "go" else flat
         kind, name, owner, bases = "", "", None, []
         in_class = bool(open_) and open_[-1][1] == "class"
