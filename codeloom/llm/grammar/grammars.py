@@ -216,7 +216,7 @@ classtype: id typeargs? ( '.' annotation* id typeargs? )*
 typeargs: '<' '>' | '<' typearg ( ',' typearg )* '>'
 typearg: type | annotation* '?' ( ( 'extends' | 'super' ) type )?
 classbody: '{' member* '}'
-member: ';' | modifier* typebody | 'static'? block | modifier* typeparams? type id '(' params? ')' ( '[' ']' )* throws? ( block | ';' | 'default' annovalue ';' ) | modifier* typeparams? id '(' params? ')' throws? block | modifier* type variables ';' | modifier+ id block
+member: ';' | modifier* typebody | 'static'? block | modifier* typeparams? type id '(' params? ')' ( '[' ']' )* throws? ( block | ';' | 'default' annovalue ';' ) | modifier* typeparams? id '(' params? ')' throws? block | modifier* type variables ';' | modifier* id block
 throws: 'throws' types
 params: param ( ',' param )*
 param: modifier* type ( annotation* '...' )? ( id ( '.' 'this' )? | 'this' ) ( '[' ']' )*
@@ -312,12 +312,12 @@ CPP = """
 file: external*
 external: declaration | function | ';' | asm ';' | namespace | template external | 'extern' STR ( '{' external* '}' | external ) | 'export' external
 namespace: 'inline'? 'namespace' attribute* ( id ( '::' 'inline'? id )* )? '{' external* '}' | 'namespace' id '=' name ';'
-template: 'template' '<' ( tparam ( ',' tparam )* )? '>' requires?
+template: 'template' 'T<' ( tparam ( ',' tparam )* )? 'T>' requires?
 requires: 'requires' binary
 tparam: ( 'typename' | 'class' | template ( 'class' | 'typename' ) | name ) '...'? id? ( '=' ( typename | name ) )? | param
 id: NAME | 'final' | 'override'
 name: '::'? ( segment '::' 'template'? )* segment
-segment: id | id '<' ( targ ( ',' targ )* )? '>' | '~' id | operator
+segment: id | id 'T<' ( targ ( ',' targ )* )? 'T>' | '~' id | operator
 targ: typename '...'? | binary '...'?
 operator: 'operator' ( '+' | '-' | '*' | '/' | '%' | '^' | '&' | '|' | '~' | '!' | '=' | '<' | '>' | '+=' | '-=' | '*=' | '/=' | '%=' | '^=' | '&=' | '|=' | '<<' | '>' '>' | '<<=' | '>>=' | '==' | '!=' | '<=' | '>=' | '<=>' | '&&' | '||' | '++' | '--' | ',' | '->*' | '->' | '(' ')' | '[' ']' | 'new' ( '[' ']' )? | 'delete' ( '[' ']' )? | STR id ) | 'operator' typename
 function: specifiers? declarator suffix* ( ctorinit? block | 'try' ctorinit? block handler+ | '=' ( 'default' | 'delete' ) ';' )
@@ -333,7 +333,7 @@ qualifier: 'const' | 'volatile' | 'static' | 'extern' | 'inline' | 'register' |
 class: ( 'class' | 'struct' | 'union' ) attribute* ( name 'final'? )? ( ':' bases )? '{' classitem* '}' | ( 'class' | 'struct' | 'union' ) attribute* name
 bases: base ( ',' base )*
 base: ( 'public' | 'private' | 'protected' | 'virtual' )* name '...'?
-classitem: ( 'public' | 'private' | 'protected' ) ':' | declaration | function | ';' | template classitem | specifiers ( declarator? ':' cond ( '=' assign )? ( ',' declarator? ':' cond )* )? ';'
+classitem: ( 'public' | 'private' | 'protected' ) ':' | declarator suffix* ( '=' ( 'default' | 'delete' | NUM ) )? ';' | declaration | function | ';' | template classitem | specifiers ( declarator? ':' cond ( '=' assign )? ( ',' declarator? ':' cond )* )? ';'
 enum: 'enum' ( 'class' | 'struct' )? attribute* ( name ( ':' specifiers )? | name? ( ':' specifiers )? '{' ( enumerator ( ',' enumerator )* ','? )? '}' )
 enumerator: id attribute* ( '=' cond )?
 declarator: pointer* direct attribute*
@@ -349,11 +349,11 @@ statement: block | exprs? ';' | 'if' ( 'constexpr' | '!'? 'consteval' )? '(' con
 condition: exprs | ( declaration | exprs ';' ) condition | specifiers declarator ( '=' assign | braces )
 rangedecl: specifiers ( pointer* id | pointer* '[' id ( ',' id )* ']' )
 handler: 'catch' '(' ( '...' | param ) ')' block
-lambda: '[' ( capture ( ',' capture )* )? ']' ( '<' tparam ( ',' tparam )* '>' )? ( '(' params? ')' )? ( 'mutable' | 'constexpr' | 'static' )* ( 'noexcept' ( '(' binary ')' )? )? attribute* ( '->' typename )? block
+lambda: '[' ( capture ( ',' capture )* )? ']' ( 'T<' tparam ( ',' tparam )* 'T>' )? ( '(' params? ')' )? ( 'mutable' | 'constexpr' | 'static' )* ( 'noexcept' ( '(' binary ')' )? )? attribute* ( '->' typename )? block
 capture: '=' | '&' | '&'? id ( '=' assign | braces )? '...'? | '*'? 'this' | '...' id
 """ + _fill(_C_COMMON, 
     primary="name | 'true' | 'false' | 'nullptr' | 'this' | lambda | '(' '...' binop binary ')' | '(' binary binop '...' ')' | '(' binary binop '...' binop binary ')' | 'requires' ( '(' params? ')' )? '{' requirement+ '}'",
-    postfix="name braces | builtin '(' args? ')' | builtin braces | 'typename' name ( '(' args? ')' | braces ) | 'auto' '(' args ')' | ( 'static_cast' | 'dynamic_cast' | 'const_cast' | 'reinterpret_cast' ) '<' typename '>' '(' exprs ')' | 'typeid' '(' ( exprs | typename ) ')' | 'decltype' '(' exprs ')' ( '(' args? ')' | braces )",
+    postfix="name braces | builtin '(' args? ')' | builtin braces | 'typename' name ( '(' args? ')' | braces ) | 'auto' '(' args ')' | ( 'static_cast' | 'dynamic_cast' | 'const_cast' | 'reinterpret_cast' ) 'T<' typename 'T>' '(' exprs ')' | 'typeid' '(' ( exprs | typename ) ')' | 'decltype' '(' exprs ')' ( '(' args? ')' | braces )",
     member="'template'? name", arg="braces | assign '...'", unary="'&&' id | 'sizeof' '...' '(' id ')' | 'alignof' '(' typename ')' | 'noexcept' '(' exprs ')' | '::'? 'delete' ( '[' ']' )? unary | '::'? 'new' ( '(' args ')' )? newtype ( '(' args? ')' | braces )? | 'co_await' unary",
     binop="'<=>' | '->*' | '.*'", cond="'throw' assign? | 'co_yield' ( assign | braces )", assign="binary '?' exprs ':' 'throw' assign", init="assign '...'", item="function", attribute="'[' '[' attrs ']' ']' | '[' '[' 'using' id ':' attrs ']' ']'",
 ) + """

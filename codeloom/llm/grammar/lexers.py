@@ -228,6 +228,8 @@ def _script(text: str, at: int, out: list, keywords: frozenset, jsx: bool, until
                 kind, at = "REGEX", regex.end()
             elif word == "<" and jsx and not value and re.match(r"<(?:[A-Za-z_$>])", text[a : a + 2]):
                 kind, at = "JSX", _jsx_end(text, a, nested)
+            elif word in ("++", "--") and fresh and value:
+                out.append((";", a, False))  # no line end may stand before a postfix operator
             elif word == "{":
                 braces += 1
             elif word == "}":
@@ -376,8 +378,49 @@ def c_tokens(text: str) -> list[tuple]:
     return [(k, a, f) for k, a, _, f in _scan(_preprocess(text), _C_RULES, _C_KEYWORDS)]
 
 
-def cpp_tokens(text: str) -> list[tuple]:
-    return [(k, a, f) for k, a, _, f in _scan(_preprocess(text), _C_RULES, _CPP_KEYWORDS)]
+_OPENS_ARGUMENTS = frozenset("NAME template static_cast dynamic_cast const_cast reinterpret_cast ] final override".split())
+_AFTER_ARGUMENTS = frozenset("( :: { ) , ; > * & && ... [ ] = :".split())
+
+
+def _closing_angle(tokens: list[tuple], at: int) -> int | None:
+    """Number of the ``>`` that closes the argument list opened at ``at``, None if it is a comparison."""
+    angles, rounds = 1, 0
+    for j in range(at + 1, min(len(tokens), at + 400)):
+        kind = tokens[j][0]
+        if kind in ("(", "["):
+            rounds += 1
+        elif kind in (")", "]"):
+            rounds -= 1
+            if rounds < 0:
+                return None
+        elif rounds:
+            continue
+        elif kind in (";", "{", "}", "||", "==", "!=", "=>") or kind == "&&" and tokens[j + 1 : j + 2] and tokens[j + 1][0] not in (">", ",", "..."):
+            return None
+        elif kind == "<" and tokens[j - 1][0] in _OPENS_ARGUMENTS:
+            angles += 1
+        elif kind == ">":
+            angles -= 1
+            if not angles:
+                return j
+    return None
+
+
+def cpp_tokens(text: str, names_may_follow: bool = True) -> list[tuple]:
+    """Tokens with the angle brackets of template arguments as ``T<`` and ``T>``, told from comparisons by what they enclose
+    and what follows; with ``names_may_follow``, also where a name follows."""
+    tokens = [(k, a, f) for k, a, _, f in _scan(_preprocess(text), _C_RULES, _CPP_KEYWORDS)]
+    for i, (kind, at, fresh) in enumerate(tokens):
+        if kind == "<" and i and tokens[i - 1][0] in _OPENS_ARGUMENTS:
+            j = _closing_angle(tokens, i)
+            if j is None:
+                continue
+            after = tokens[j + 1][0] if j + 1 < len(tokens) else ";"
+            sure = tokens[i - 1][0] not in ("NAME", "]", "final", "override")
+            if sure or after in _AFTER_ARGUMENTS or names_may_follow and (after[0].isalpha() or after in ("~", "T>")):
+                tokens[i] = ("T<", at, fresh)
+                tokens[j] = ("T>", *tokens[j][1:])
+    return tokens
 
 
 # ------------------------------------------------------------------ JSON, SQL
@@ -515,7 +558,7 @@ def shell_tokens(text: str) -> list[tuple]:
                     at = k
             else:
                 put("WORD", a)
-                command = False
+                command = before == "function"
     if documents:
         raise LexError(n, f"here-document {documents[0][0]!r} is not closed")
     return out

@@ -46,8 +46,8 @@ _VENDORED = re.compile(
 _FOLDERS = re.compile(r"(?:^|/)(?:node_modules|site-packages|bower_components|third_party|third-party|thirdparty|_vendor|_vendored)/|(?:^|/)(?:vendor|vendored|external|extern|deps)/[^/]+/")
 _FOLDER_NAME = re.compile(r"(?:^|/)deps/[^/]+-\d[\d.]*/")
 
-_STRING = re.compile(r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`')
-_COMMENT = re.compile(r"/\*[\s\S]*?\*/|(?<![:\w])//[^\n]*|(?m:^[ \t]*#(?!\s*(?:include|define|ifn?def|endif|pragma|if|else|undef))[^\n]*)")
+_STRING = re.compile(r'"""[\s\S]*?(?:"""|\Z)|\'\'\'[\s\S]*?(?:\'\'\'|\Z)|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`')
+_COMMENT = re.compile(r"/\*[\s\S]*?(?:\*/|\Z)|(?<![:\w])//[^\n]*|(?m:^[ \t]*#(?!\s*(?:include|define|ifn?def|endif|pragma|if|else|undef))[^\n]*)")
 _IDENT = re.compile(r"[^\W\d]\w*")
 _TOKEN = re.compile(r"[^\W\d]\w*|\d\w*|\S")
 _MAKES = re.compile(r"\b(?:def|func|function|return|for|while|if|struct|interface|void)\b|=>")

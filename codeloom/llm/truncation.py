@@ -29,6 +29,8 @@ CLOSER_SHARE, CLOSER_LEAST = 0.001, 3
 SHAPE_SHARE = 0.0002
 #: A word is known from this many occurrences on; longer ones than WORD_CHARS are no words.
 KNOWN, WORD_CHARS = 3, 40
+#: A token's shape is that of its last characters.
+SHAPE_CHARS = 80
 #: A length is a field limit of a source when this share of its texts (and LIMIT_LEAST of them) has exactly it.
 LIMIT_SHARE, LIMIT_LEAST = 0.03, 5
 
@@ -40,8 +42,7 @@ _SENTENCE = re.compile(r"[.!?。！？]['\"”’»)\]*_`]*$")
 _ITEM = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+(.*)$")
 _BARE_ITEM = re.compile(r"^\s*(?:[-*+•]|\d+[.)])$")
 _FENCE = re.compile(r"^\s*(```+|~~~+)", re.M)
-_STOP = re.compile(r"(\S+[.])(?=\s+\S)")
-_BLOCK = re.compile(r"^\s*(```|~~~).*?^\s*\1[^\n]*$", re.M | re.S)
+_BLOCK = re.compile(r"^\s*(```|~~~).*?(?:^\s*\1[^\n]*$|\Z)", re.M | re.S)
 
 
 def token_shape(token: str) -> str:
@@ -105,8 +106,8 @@ def tail_of(text: str) -> tuple[str, str, str, list[str]]:
         return "cut", "open code span", token, []
     item = _ITEM.match(lines[-1])
     if _SENTENCE.search(last):
-        spoken = re.search(r"(\S+[.])['\"”’»)\]*_`]*$", last)
-        return ("ask", "full stop", "", [token_shape(spoken.group(1))]) if spoken else ("whole", "sentence", "", [])
+        spoken = last.split()[-1].rstrip("'\"”’»)]*_`")
+        return ("ask", "full stop", "", [token_shape(spoken[-SHAPE_CHARS:])]) if spoken.endswith(".") else ("whole", "sentence", "", [])
     if item or _BARE_ITEM.match(last):
         words = item.group(1).split() if item else []
         before = next((m.group(1) for m in map(_ITEM.match, reversed(lines[:-1][-3:])) if m), "")
@@ -128,7 +129,8 @@ def facts_of(text: str, counts: Counter) -> None:
         words.pop()
     counts.update(("word", w) for w in words)
     prose = _BLOCK.sub("", body)
-    counts.update(("stop", token_shape(m.group(1))) for m in _STOP.finditer(prose))
+    tokens = prose.split()
+    counts.update(("stop", token_shape(t[-SHAPE_CHARS:])) for t in tokens[:-1] if t.endswith("."))
     lines = prose.split("\n")
     for line in lines[:-1]:
         item = _ITEM.match(line)
