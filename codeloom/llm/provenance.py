@@ -48,11 +48,17 @@ _FOLDER_NAME = re.compile(r"(?:^|/)deps/[^/]+-\d[\d.]*/")
 
 _STRING = re.compile(r'"""[\s\S]*?(?:"""|\Z)|\'\'\'[\s\S]*?(?:\'\'\'|\Z)|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`')
 _COMMENT = re.compile(r"/\*[\s\S]*?(?:\*/|\Z)|(?<![:\w])//[^\n]*|(?m:^[ \t]*#(?!\s*(?:include|define|ifn?def|endif|pragma|if|else|undef))[^\n]*)")
+_EITHER = re.compile(_STRING.pattern + "|(?P<comment>" + _COMMENT.pattern + ")")
 _IDENT = re.compile(r"[^\W\d]\w*")
 _TOKEN = re.compile(r"[^\W\d]\w*|\d\w*|\S")
 _MAKES = re.compile(r"\b(?:def|func|function|return|for|while|if|struct|interface|void)\b|=>")
 
 
+def without_comments(text: str) -> str:
+    """Comments as single blanks; what looks like one inside a string stays."""
+    return _EITHER.sub(lambda m: " " if m.group("comment") else m.group(), text)
+
+
 def banner_of(text: str) -> str:
     """generated or vendored where one of the first comment lines says so, else an empty string."""
     seen = 0
@@ -84,7 +90,7 @@ def folder_of(path: str) -> bool:
 
 def shape_of(text: str) -> str:
     """generated, minified or data by what the text is made of, else an empty string."""
-    bare = _COMMENT.sub(" ", text)
+    bare = without_comments(text)
     solid = len(re.sub(r"\s+", "", bare))
     if solid < 120:
         return ""
@@ -117,14 +123,14 @@ def shape_of(text: str) -> str:
         if numbers:
             last[pattern] = numbers
     repeated = sum(n for _, n in patterns.most_common(4)) / len(lines)
-    if len(lines) >= 6 and repeated >= 0.8 and counted >= max(4, 0.3 * len(lines)):
+    if len(lines) >= 6 and repeated >= (0.8 if len(lines) >= 16 else 0.9) and counted >= max(4, 0.45 * len(lines)):
         return "generated"
     return ""
 
 
 def fingerprints(text: str) -> list[int]:
     """Winnowed hashes of the token stream without comments and layout."""
-    tokens = _TOKEN.findall(_COMMENT.sub(" ", text))
+    tokens = _TOKEN.findall(without_comments(text))
     if len(tokens) < GRAM:
         return []
     known: dict[str, int] = {}
