@@ -115,7 +115,7 @@ def shape_of(text: str) -> str:
         pattern = re.sub(r"(?:a_)+a?", "a", pattern)
         if len(pattern) > 60:
             pattern = pattern[:60]
-        numbers = [int(n) for n in re.findall(r"(?<![\dxX.])\d{1,6}(?![\d.xX])", re.sub(r"0[xX][0-9a-fA-F]+", "", bareline))[:2]]
+        numbers = [int(n) for n in re.findall(r"(?<![\d.])\d{1,6}(?![\d.])", re.sub(r"0[xX][0-9a-fA-F]+", "", bareline))[:2]]
         before = last.get(pattern)
         patterns[pattern] += 1
         if before and any(n == b + 1 for n, b in zip(numbers, before, strict=False)):

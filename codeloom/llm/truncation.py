@@ -27,6 +27,8 @@ LEAST_CHARS = 10
 CLOSER_SHARE, CLOSER_LEAST = 0.001, 3
 #: Share of all full stops inside texts that must follow a token shape for it to be one.
 SHAPE_SHARE = 0.0002
+#: Share of the unpunctuated list items inside texts that must have as many words as an item for it to be of usual length.
+ITEM_SHARE = 0.005
 #: A word is known from this many occurrences on; longer ones than WORD_CHARS are no words.
 KNOWN, WORD_CHARS = 3, 40
 #: A token's shape is that of its last characters.
@@ -115,7 +117,7 @@ def tail_of(text: str) -> tuple[str, str, str, list[str]]:
             return "cut", "list item", token, []
         if before and len(before.split()) > len(words):
             return "cut", "list item", token, []
-        return "ask", "list item", token, []
+        return "ask", "list item", token, [str(len(words))]
     if last.startswith("#"):
         return "cut", "heading", token, []
     keys = closing_keys(last)
@@ -138,6 +140,7 @@ def facts_of(text: str, counts: Counter) -> None:
             tail = _WORD.findall(item.group(1))
             if tail:
                 counts[("item", tail[-1].lower())] += 1
+                counts[("itemlen", str(len(item.group(1).split())))] += 1
 
 
 def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,12 +183,14 @@ def judge_ends(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # a masked last word is a slot only if no single filler makes up half of it
     lines = facts.where("kind = 'closer'").groupBy("kind", F.substring_index("key", "\x02", 1).alias("key")).agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.bool_or(F.instr("key", "\x02") > 0).alias("slot"))
     closers = lines.where((F.col("n") >= max(CLOSER_LEAST, CLOSER_SHARE * total_docs)) & (~F.col("slot") | (2 * F.col("top") <= F.col("n")))).select("kind", "key", "n")
+    items_seen = facts.where("kind = 'itemlen'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    lengths_seen = facts.where((F.col("kind") == "itemlen") & (F.col("n") >= ITEM_SHARE * items_seen))
     shapes = facts.where((F.col("kind") == "stop") & (F.col("n") >= SHAPE_SHARE * stops))
 
     # one row per distinct way to end that has to be looked up; the look-ups shuffle these, not the documents
     asked = tails.where("verdict = 'ask'").select("kind", "token", "keys").distinct().withColumn("sig", F.sha2(F.to_json(F.struct("kind", "token", "keys")), 256))
-    looked = asked.select("sig", F.explode(F.transform("keys", lambda k: F.substring_index(k, "\x02", 1))).alias("key"), F.when(F.col("kind") == "full stop", "stop").otherwise("closer").alias("fact"))
-    good = shapes.unionByName(closers).select(F.col("kind").alias("fact"), "key")
+    looked = asked.select("sig", F.explode(F.transform("keys", lambda k: F.substring_index(k, "\x02", 1))).alias("key"), F.when(F.col("kind") == "full stop", "stop").when(F.col("kind") == "list item", "itemlen").otherwise("closer").alias("fact"))
+    good = shapes.unionByName(closers).unionByName(lengths_seen).select(F.col("kind").alias("fact"), "key")
     shared = looked.join(good, ["fact", "key"], "left_semi").select("sig").distinct().withColumn("shared", F.lit(True))
 
     tokens = asked.where("token != ''").select("token").distinct()
@@ -206,7 +211,8 @@ def judge_ends(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     full = join_split_hot(signed, looks, "sig", "left").withColumn("place", F.coalesce("source", F.lit("\x00")))
     full = join_split_hot(full, limits, "place", "left")
     at_limit = F.coalesce((F.col("field_limit") - F.col("n_chars")).between(0, 2), F.lit(False))
-    item_cut = F.col("part_of_word") | (~F.col("ends_items") & (at_limit | F.col("known_word")))
+    usual = F.col("shared") | F.lit(items_seen == 0)
+    item_cut = F.col("part_of_word") | ~usual | (~F.col("ends_items") & (at_limit | F.col("known_word")))
     cut = (
         F.when(F.col("verdict") == "cut", True)
         .when(F.col("verdict") == "whole", False)
