@@ -99,10 +99,11 @@ def _body_end(lines: list[str], first: int, family: str) -> int:
                 last = k
         return last
     if family == "end":
-        opens = re.compile(r"\b(?:function|def|do|then|class|module|case|begin|repeat)\b")
         depth = 0
         for k in range(first, len(lines)):
-            depth += len(opens.findall(lines[k])) - len(re.findall(r"\b(?:end|until|elseif|elsif)\b", lines[k]))
+            leads = bool(re.match(r"\s*(?:if|unless|while|until|for|case|class|module|begin|repeat)\b", lines[k]))
+            depth += leads + len(re.findall(r"\b(?:function|def)\b" if leads else r"\b(?:function|def|do)\b", lines[k]))
+            depth -= len(re.findall(r"(?<![\w.])end\b", lines[k]))
             if depth <= 0 and k > first:
                 return k
         return len(lines) - 1
