@@ -12,7 +12,7 @@ from codeloom.functions import text, vectors
 from codeloom.operators import chunking, context, graph, resolve, retrieval, store
 from codeloom.operators.store import FolderStore
 from codeloom.parse import files as parsing
-from codeloom.session import cut_lineage
+from codeloom.session import cut_lineage, ship_package
 from codeloom.sources.files import scan_tree
 
 _DIRECTIONS = {"callers": "callers", "dependents": "callers", "callees": "callees", "dependencies": "callees"}
@@ -26,6 +26,7 @@ class Engine:
     """
 
     def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, embed: Callable[[Column], Column] | None = None, embed_query: Callable[[str], list[float]] | None = None, scorer: Callable[[Column], Column] | None = None):
+        ship_package(spark)
         self.spark, self.tables, self.settings = spark, FolderStore(spark, folder), settings or Settings()
         self.embed = embed or vectors.hash_embedder(self.settings.dimension)
         self.embed_query = embed_query or (lambda q: vectors.hash_vector(q, self.settings.dimension))

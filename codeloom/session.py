@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +46,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="codeloom-checkpoint-")
         context.setCheckpointDir(named)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the session's Python workers, wherever they run; once per session.
+
+    The sources travel as one small archive through Spark's own file distribution, so executors need no copy of the
+    repository and no common path.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_codeloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="codeloom-package-")
+    archive = os.path.join(folder, "codeloom.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, os.path.join("codeloom", path.relative_to(root)))
+    context.addPyFile(archive)
+    context._codeloom_shipped = True
