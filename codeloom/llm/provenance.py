@@ -26,7 +26,7 @@ from codeloom.session import cut_lineage
 #: Tokens hashed together, hashes per window, and what makes a copy: repositories that share a fingerprint, share of a
 #: file's fingerprints that so recur, and fingerprints a file must have.
 GRAM, WINDOW = 20, 16
-COPY_REPOS, COPY_SHARE, COPY_LEAST = 3, 0.6, 6
+COPY_REPOS, COPY_SHARE, COPY_LEAST = 3, 0.8, 8
 
 # Extensions whose files are source code (configuration, queries, shell and prose are judged by banner and folder only).
 CODE = frozenset(".py .pyw .pyi .js .jsx .mjs .cjs .ts .tsx .mts .cts .go .rs .c .h .cpp .cc .cxx .hpp .hxx .java .kt .kts .scala .sc .cs .swift .rb .php .lua .r".split())
