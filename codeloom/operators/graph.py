@@ -114,24 +114,58 @@ def cycles(edges: DataFrame, most: int = 5, edge_type: str | None = "import") ->
     return found.select(F.array_join("path", " > ").alias("cycle"), F.size("path").alias("length"))
 
 
-def topological_levels(edges: DataFrame, edge_type: str | None = "import") -> DataFrame:
+#: A remaining graph of at most so many edges is levelled in one task (about 300 bytes an edge).
+LOCAL_EDGES = 250_000
+
+
+def _level_locally(links: DataFrame, base: int) -> DataFrame:
+    """Levels of the symbols of ``links``, those without an incoming edge at ``base``; cyclic parts left out."""
+    import pandas as pd
+
+    def run(batches):
+        ways: dict[str, list[str]] = {}
+        waits: dict[str, int] = {}
+        for batch in batches:
+            for a, b in zip(batch["source_id"], batch["target_id"], strict=True):
+                ways.setdefault(a, []).append(b)
+                waits[b] = waits.get(b, 0) + 1
+                waits.setdefault(a, 0)
+        ready, level, out = [s for s, n in waits.items() if n == 0], base, []
+        while ready:
+            out += [(s, level) for s in ready]
+            ahead = []
+            for s in ready:
+                for t in ways.get(s, ()):
+                    waits[t] -= 1
+                    if waits[t] == 0:
+                        ahead.append(t)
+            ready, level = ahead, level + 1
+        yield pd.DataFrame(out, columns=["symbol_id", "level"])
+
+    return links.select("source_id", "target_id").coalesce(1).mapInPandas(run, "symbol_id string, level int")
+
+
+def topological_levels(edges: DataFrame, edge_type: str | None = "import", local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(symbol_id, level): level 0 has no incoming edge, every other symbol lies one above its highest predecessor.
 
     Symbols on or behind a cycle have no level and are left out. Ordering by (level, symbol_id) is a topological order.
+    Levels are peeled off by joins, two checkpoints each, until at most ``local_edges`` edges are left, which one task finishes.
     """
     links = cut_lineage(clean_edges(edges, edge_type).select("source_id", "target_id").where("source_id != target_id").distinct())
-    left = cut_lineage(links.select(F.col("source_id").alias("symbol_id")).unionByName(links.select(F.col("target_id").alias("symbol_id"))).distinct())
-    done, level = None, 0
-    while not left.isEmpty():
-        free = cut_lineage(left.join(links.select(F.col("target_id").alias("symbol_id")).distinct(), "symbol_id", "left_anti"))
-        if free.isEmpty():
-            break
-        part = free.select("symbol_id", F.lit(level).alias("level"))
-        done = part if done is None else done.unionByName(part)
-        left = cut_lineage(left.join(free, "symbol_id", "left_anti"))
-        links = cut_lineage(links.join(free.withColumnRenamed("symbol_id", "source_id"), "source_id", "left_anti"))
+    if links.count() <= local_edges:
+        return _level_locally(links, 0)
+    targets = lambda rows: rows.select(F.col("target_id").alias("symbol_id")).distinct()
+    free = cut_lineage(links.select(F.col("source_id").alias("symbol_id")).distinct().join(targets(links), "symbol_id", "left_anti"))
+    done, level = free.select("symbol_id", F.lit(0).alias("level")), 0
+    while not free.isEmpty():
+        gone = free.withColumnRenamed("symbol_id", "source_id")
+        rest = cut_lineage(links.join(gone, "source_id", "left_anti"))
+        if rest.count() <= local_edges // 2 and links.count() <= local_edges:
+            return done.unionByName(_level_locally(links, level).where(F.col("level") > level))
         level += 1
-    return done if done is not None else left.select("symbol_id", F.lit(0).alias("level")).where(F.lit(False))
+        free = cut_lineage(targets(links.join(gone, "source_id", "left_semi")).join(targets(rest), "symbol_id", "left_anti"))
+        done, links = done.unionByName(free.select("symbol_id", F.lit(level).alias("level"))), rest
+    return done
 
 
 def topological_order(edges: DataFrame, edge_type: str | None = "import") -> DataFrame:

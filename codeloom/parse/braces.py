@@ -161,12 +161,13 @@ def references(text: str, language: str) -> list[tuple]:
     symbols = sorted(_symbols(text, language), key=lambda s: s[2])
     declared = {(s[1], bisect_right(starts, s[2])) for s in symbols}
 
+    begins = [s[2] for s in symbols]
+
     def scope(at: int) -> str | None:
-        inside = [s for s in symbols if s[2] <= at <= s[3]]
-        if not inside:
-            return None
-        inner = inside[-1]
-        return f"{inner[4]}.{inner[1]}" if inner[4] else inner[1]
+        for k in range(bisect_right(begins, at) - 1, -1, -1):
+            if at <= symbols[k][3]:
+                return f"{symbols[k][4]}.{symbols[k][1]}" if symbols[k][4] else symbols[k][1]
+        return None
 
     out = []
     for n, line in enumerate(text.split("\n"), 1):

@@ -9,7 +9,7 @@ from codeloom.functions import text, vectors
 from codeloom.functions.languages import EXTENSIONS, detect_language
 from codeloom.operators import chunking, context, graph, metrics, resolve, retrieval, store, text_search
 from codeloom.parse import files as parsing
-from codeloom.session import read_table
+from codeloom.session import cut_lineage, read_table
 from codeloom.sources.ignore import is_ignored, rules_of
 from codeloom.streaming import debounce
 
@@ -434,7 +434,7 @@ def newest_pagerank(spark, sf_dir):
 @query()
 def graph_built_from_sources(spark, sf_dir):
     """Nodes, edges and symbols of all sources, parsed and resolved anew, counted by kind."""
-    parsed = parsing.parse_files(_files(spark, sf_dir).withColumn("language", detect_language(F.col("file_path"))))
+    parsed = cut_lineage(parsing.parse_files(_files(spark, sf_dir).withColumn("language", detect_language(F.col("file_path")))))
     nodes, edges, symbols = resolve.build_graph(parsing.definitions_of(parsed), parsing.references_of(parsed))
     kinds = nodes.select(F.concat(F.lit("node "), "symbol_type").alias("kind")).unionByName(edges.select(F.concat(F.lit("edge "), "edge_type").alias("kind"))).unionByName(symbols.select(F.when(F.col("unresolved"), "symbol stub").otherwise("symbol").alias("kind")))
     return metrics.count_by(kinds, "kind")

@@ -53,6 +53,12 @@ def test_cycles_and_order(spark):
     diamond = edges_of(spark, [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")], "import")
     assert [r.symbol_id for r in graph.topological_order(diamond).orderBy("position").collect()] == ["a", "b", "c", "d"]
     assert {(r.symbol_id, r.level) for r in graph.topological_levels(diamond).collect()} == {("a", 0), ("b", 1), ("c", 1), ("d", 2)}
+    rng = random.Random(8)
+    dag = edges_of(spark, [(f"v{i:02d}", f"v{rng.randrange(i + 1, 31):02d}") for i in range(30) for _ in range(2)] + [("v30", "loop"), ("loop", "loop2"), ("loop2", "loop")], "import")
+    want = {tuple(r) for r in graph.topological_levels(dag).collect()}
+    for limit in (0, 8, 20):
+        assert {tuple(r) for r in graph.topological_levels(dag, local_edges=limit).collect()} == want
+    assert len(want) == 31
     assert graph.cycles(edges_of(spark, [])).count() == 0 and graph.topological_levels(edges_of(spark, [])).count() == 0
 
 
