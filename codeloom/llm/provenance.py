@@ -187,10 +187,12 @@ def classify_files(files: DataFrame) -> DataFrame:
     """
     whole = files.where("file_path is not null").select("file_path", F.coalesce("repo", F.lit("")).alias("repo"), "content").distinct()
     seen = cut_lineage(whole.mapInPandas(_evidence, "file_path string, repo string, banner string, folder boolean, shape string, prints array<bigint>"))
-    marks = seen.select("file_path", "repo", F.explode("prints").alias("mark"))
-    spread = marks.select("mark", "repo").distinct().groupBy("mark").agg(F.count(F.lit(1)).alias("n_repos")).where(F.col("n_repos") >= COPY_REPOS)
-    hits = join_split_hot(marks.select("file_path", "repo", "mark"), spread, "mark", "left_semi").groupBy("file_path", "repo").agg(F.count(F.lit(1)).alias("n_copied"))
-    judged = seen.join(hits, ["file_path", "repo"], "left")
+    # what is shuffled per fingerprint is numbers only: two 64-bit hashes stand for the file, one for the repository
+    seen = seen.withColumns({"f1": F.xxhash64(F.lit(1), "file_path", "repo"), "f2": F.xxhash64(F.lit(2), "file_path", "repo")})
+    marks = seen.select("f1", "f2", F.xxhash64("repo").alias("r"), F.explode("prints").alias("mark"))
+    spread = marks.select("mark", "r").distinct().groupBy("mark").agg(F.count(F.lit(1)).alias("n_repos")).where(F.col("n_repos") >= COPY_REPOS).select("mark")
+    hits = join_split_hot(marks.select("f1", "f2", "mark"), spread, "mark", "left_semi").groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n_copied"))
+    judged = seen.join(hits, ["f1", "f2"], "left")
     share = F.when(F.size("prints") > 0, F.coalesce("n_copied", F.lit(0)) / F.size("prints")).otherwise(F.lit(0.0))
     copied = (F.size("prints") >= COPY_LEAST) & (share >= COPY_SHARE)
     kind = (
