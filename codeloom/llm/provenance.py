@@ -165,7 +165,7 @@ def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             code = _extension(path) in CODE
             out.append((path, banner_of(text), folder_of(path), shape_of(text) if code else "", fingerprints(text) if code else []))
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
-        yield pd.DataFrame({"file_path": columns[0], "repo": batch["repo"].tolist(), "banner": columns[1], "folder": columns[2], "shape": columns[3], "prints": columns[4]})
+        yield pd.DataFrame({"file_path": columns[0], "repo": batch["repo"].tolist(), "f1": batch["f1"].tolist(), "f2": batch["f2"].tolist(), "banner": columns[1], "folder": columns[2], "shape": columns[3], "prints": columns[4]})
 
 
 def not_hand_written(files: DataFrame, languages: dict[str, str]) -> DataFrame:
@@ -185,13 +185,14 @@ def classify_files(files: DataFrame) -> DataFrame:
     ``files`` has file_path, repo and content. Null content is an empty text, which is hand-written; null paths are left out;
     repeated rows count once; a null repo is a repository of its own. A path with several contents gets a row per content.
     """
-    whole = files.where("file_path is not null").select("file_path", F.coalesce("repo", F.lit("")).alias("repo"), "content").distinct()
-    seen = cut_lineage(whole.mapInPandas(_evidence, "file_path string, repo string, banner string, folder boolean, shape string, prints array<bigint>"))
-    # what is shuffled per fingerprint is numbers only: two 64-bit hashes stand for the file, one for the repository
-    seen = seen.withColumns({"f1": F.xxhash64(F.lit(1), "file_path", "repo"), "f2": F.xxhash64(F.lit(2), "file_path", "repo")})
+    whole = files.where("file_path is not null").select("file_path", F.coalesce("repo", F.lit("")).alias("repo"), "content")
+    # texts are not shuffled, and per fingerprint numbers only: two 64-bit hashes stand for the row, one for the repository;
+    # equal rows share their hashes and fold where fingerprints are counted
+    whole = whole.withColumns({f"f{i}": F.xxhash64(F.lit(i), "file_path", "repo", "content") for i in (1, 2)})
+    seen = cut_lineage(whole.mapInPandas(_evidence, "file_path string, repo string, f1 bigint, f2 bigint, banner string, folder boolean, shape string, prints array<bigint>"))
     marks = seen.select("f1", "f2", F.xxhash64("repo").alias("r"), F.explode("prints").alias("mark"))
     spread = marks.select("mark", "r").distinct().groupBy("mark").agg(F.count(F.lit(1)).alias("n_repos")).where(F.col("n_repos") >= COPY_REPOS).select("mark")
-    hits = join_split_hot(marks.select("f1", "f2", "mark"), spread, "mark", "left_semi").groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n_copied"))
+    hits = join_split_hot(marks.select("f1", "f2", "mark"), spread, "mark", "left_semi").distinct().groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n_copied"))
     judged = seen.join(hits, ["f1", "f2"], "left")
     share = F.when(F.size("prints") > 0, F.coalesce("n_copied", F.lit(0)) / F.size("prints")).otherwise(F.lit(0.0))
     copied = (F.size("prints") >= COPY_LEAST) & (share >= COPY_SHARE)
@@ -202,4 +203,4 @@ def classify_files(files: DataFrame) -> DataFrame:
         .when(F.col("folder") | copied, "vendored")
         .otherwise("hand-written")
     )
-    return judged.select("file_path", "repo", kind.alias("kind"), F.round(share, 6).alias("copy_share"))
+    return judged.select("file_path", "repo", kind.alias("kind"), F.round(share, 6).alias("copy_share")).distinct()
