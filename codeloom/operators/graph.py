@@ -87,15 +87,84 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 50, tole
     return ranks.select("symbol_id", "score")
 
 
-def cycles(edges: DataFrame, most: int = 5, edge_type: str | None = "import") -> DataFrame:
-    """(cycle, length) of every elementary cycle of 2 to ``most`` symbols, once each, smallest symbol first.
+#: A remaining graph of at most so many edges is levelled, or searched for cycles, in one task (about 300 bytes an edge).
+LOCAL_EDGES = 250_000
+
+
+def _cycles_locally(links: DataFrame) -> DataFrame:
+    """(path) of every elementary cycle of ``links`` by Johnson's algorithm; paths leave the task as they are found."""
+    import pandas as pd
 
-    Paths grow from their smallest symbol through larger ones only. Symbols that cannot lie on a cycle are peeled off first
-    (no way in or no way out), which leaves little to grow in a graph that is nearly free of cycles.
+    def within(ways: dict[str, list[str]], start: str) -> set[str]:
+        seen, ahead = {start}, [start]
+        while ahead:
+            for t in ways.get(ahead.pop(), ()):
+                if t > start and t not in seen:
+                    seen.add(t)
+                    ahead.append(t)
+        return seen
+
+    def circuits(ways: dict[str, list[str]], start: str):
+        path, blocked, closed, waiting, stack = [start], {start}, set(), {}, [(start, list(ways[start]))]
+        while stack:
+            at, ahead = stack[-1]
+            if ahead:
+                t = ahead.pop()
+                if t == start:
+                    yield list(path)
+                    closed.update(path)
+                elif t not in blocked:
+                    path.append(t)
+                    stack.append((t, list(ways[t])))
+                    closed.discard(t)
+                    blocked.add(t)
+                continue
+            if at in closed:
+                free = [at]
+                while free:
+                    if (x := free.pop()) in blocked:
+                        blocked.discard(x)
+                        free += waiting.pop(x, ())
+            else:
+                for t in ways[at]:
+                    waiting.setdefault(t, set()).add(at)
+            stack.pop()
+            path.pop()
+
+    def run(batches):
+        ways: dict[str, list[str]] = {}
+        back: dict[str, list[str]] = {}
+        for batch in batches:
+            for a, b in zip(batch["source_id"], batch["target_id"], strict=True):
+                ways.setdefault(a, []).append(b)
+                back.setdefault(b, []).append(a)
+        out = []
+        for start in sorted(ways.keys() & back.keys()):
+            ring = within(ways, start) & within(back, start)
+            if len(ring) == 1:
+                continue
+            for path in circuits({x: [t for t in ways[x] if t in ring] for x in ring}, start):
+                out.append(path)
+                if len(out) == 1000:
+                    yield pd.DataFrame({"path": out})
+                    out = []
+        if out:
+            yield pd.DataFrame({"path": out})
+
+    return links.select("source_id", "target_id").coalesce(1).mapInPandas(run, "path array<string>")
+
+
+def cycles(edges: DataFrame, most: int | None = None, edge_type: str | None = "import", local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(cycle, length) of every elementary cycle of 2 symbols or more (of at most ``most``, if given), once each, smallest
+    symbol first.
+
+    Symbols that cannot lie on a cycle are peeled off first (no way in or no way out), which leaves little in a graph that is
+    nearly free of cycles. One task searches what is left if that is at most ``local_edges`` edges; else paths grow by joins
+    from their smallest symbol through larger ones only, until none is open.
     """
     links = cut_lineage(clean_edges(edges, edge_type).select("source_id", "target_id").where("source_id != target_id").distinct())
     size = links.count()
-    while size:
+    while size > local_edges:
         kept = links.join(links.select(F.col("target_id").alias("source_id")).distinct(), "source_id", "left_semi")
         kept = cut_lineage(kept.join(kept.select(F.col("source_id").alias("target_id")).distinct(), "target_id", "left_semi").select("source_id", "target_id"))
         now = kept.count()
@@ -103,21 +172,22 @@ def cycles(edges: DataFrame, most: int = 5, edge_type: str | None = "import") ->
         if now == size:
             break
         size = now
-    paths = links.where("source_id < target_id").select(F.array("source_id", "target_id").alias("path"), F.col("target_id").alias("at"))
-    found = None
-    for length in range(2, most + 1):
+    if size <= local_edges:
+        found = _cycles_locally(links)
+    else:
         back = links.select(F.col("source_id").alias("at"), F.col("target_id").alias("to"))
-        closed = paths.join(back, "at").where(F.col("to") == F.col("path")[0]).select("path")
-        found = closed if found is None else found.unionByName(closed)
-        if length < most:
-            paths = cut_lineage(paths.join(back, "at").where((F.col("to") > F.col("path")[0]) & ~F.array_contains("path", F.col("to"))).select(F.concat("path", F.array("to")).alias("path"), F.col("to").alias("at")))
+        paths = links.where("source_id < target_id").select(F.array("source_id", "target_id").alias("path"), F.col("target_id").alias("at"))
+        found, length = paths.select("path").limit(0), 2
+        while not paths.isEmpty():
+            found = found.unionByName(cut_lineage(paths.join(back, "at").where(F.col("to") == F.col("path")[0]).select("path")))
+            if length == most:
+                break
+            paths, length = cut_lineage(paths.join(back, "at").where((F.col("to") > F.col("path")[0]) & ~F.array_contains("path", F.col("to"))).select(F.concat("path", F.array("to")).alias("path"), F.col("to").alias("at"))), length + 1
+    if most is not None:
+        found = found.where(F.size("path") <= most)
     return found.select(F.array_join("path", " > ").alias("cycle"), F.size("path").alias("length"))
 
 
-#: A remaining graph of at most so many edges is levelled in one task (about 300 bytes an edge).
-LOCAL_EDGES = 250_000
-
-
 def _level_locally(links: DataFrame, base: int) -> DataFrame:
     """Levels of the symbols of ``links``, those without an incoming edge at ``base``; cyclic parts left out."""
     import pandas as pd

@@ -376,7 +376,7 @@ def pagerank_converged(spark, sf_dir):
   SELECT [s, t] AS p, t AS z FROM e WHERE s < t UNION ALL SELECT list_append(p, e.t), e.t FROM w JOIN e ON e.s = w.z WHERE e.t > p[1] AND NOT list_contains(p, e.t) AND len(p) < 6)
 SELECT array_to_string(p, ' > ') AS cycle, CAST(len(p) AS INTEGER) AS length FROM w JOIN e ON e.s = w.z AND e.t = p[1]""")
 def inheritance_cycles(spark, sf_dir):
-    return graph.cycles(read_table(spark, sf_dir, "graph_edges"), most=6, edge_type="inherits")
+    return graph.cycles(read_table(spark, sf_dir, "graph_edges"), edge_type="inherits")
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT DISTINCT s, t FROM ({_EDGES}) WHERE k = 'inherits' AND s <> t), v AS (SELECT s AS x FROM e UNION SELECT t FROM e),

@@ -62,6 +62,31 @@ def test_cycles_and_order(spark):
     assert graph.cycles(edges_of(spark, [])).count() == 0 and graph.topological_levels(edges_of(spark, [])).count() == 0
 
 
+def slow_cycles(pairs):
+    """Every simple path from its smallest symbol that closes."""
+    out, todo = set(), [[a] for a in {a for a, _ in pairs}]
+    while todo:
+        path = todo.pop()
+        for a, b in pairs:
+            if a == path[-1] and b == path[0] and len(path) > 1:
+                out.add((" > ".join(path), len(path)))
+            elif a == path[-1] and b > path[0] and b not in path:
+                todo.append([*path, b])
+    return out
+
+
+def test_cycles_of_any_length(spark):
+    ring = [(f"r{i:02d}", f"r{(i + 1) % 12:02d}") for i in range(12)]
+    rng = random.Random(3)
+    dense = list({(f"d{rng.randrange(9)}", f"d{rng.randrange(9)}") for _ in range(30)})
+    pairs = [*ring, ("r04", "r00"), *dense, ("d3", "r02"), ("r05", "x"), ("x", "y"), ("y", "x"), ("y", "z")]
+    want = slow_cycles([p for p in pairs if p[0] != p[1]])
+    assert max(n for _, n in want) == 12 and len(want) > 20
+    for local in (graph.LOCAL_EDGES, 0):
+        assert sorted(map(tuple, graph.cycles(edges_of(spark, pairs, "import"), local_edges=local).collect())) == sorted(want)
+        assert sorted(map(tuple, graph.cycles(edges_of(spark, pairs, "import"), 4, local_edges=local).collect())) == sorted(w for w in want if w[1] <= 4)
+
+
 def test_inferred_edges_can_be_left_out(spark):
     e = edges_of(spark, [("a", "b")]).unionByName(edges_of(spark, [("b", "c")], "inferred"))
     assert graph.reach(graph.clean_edges(e), "a", 5).count() == 2
