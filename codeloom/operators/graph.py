@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.operators.skew import join_split_hot
@@ -238,37 +238,86 @@ def topological_levels(edges: DataFrame, edge_type: str | None = "import", local
     return done
 
 
-def topological_order(edges: DataFrame, edge_type: str | None = "import") -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
+    """(symbol_id, component): the smallest symbol that each is connected with, directions aside.
+
+    Alternates large and small stars, which ends after about a logarithm of the diameter; minima combine on the map side.
+    """
+    turned = lambda rows: rows.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    pairs = cut_lineage(links.select(F.greatest("source_id", "target_id").alias("a"), F.least("source_id", "target_id").alias("b")).where("a != b").distinct())
+    state = None
+    while True:
+        both = pairs.unionByName(turned(pairs))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = cut_lineage(join_split_hot(both.where("b > a"), least, "a", "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = join_split_hot(large, least, "a", "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        pairs = cut_lineage(small.where("a != b").distinct())
+        now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == state:
+            break
+        state = now
+    return pairs.select(F.col("a").alias("symbol_id"), F.col("b").alias("component")).unionByName(pairs.select(F.col("b").alias("symbol_id"), F.col("b").alias("component")).distinct())
+
+
+def _order(sources, targets) -> list[str]:
+    """Always the smallest symbol that is ready next."""
+    import heapq
+
+    ways: dict[str, list[str]] = {}
+    waits: dict[str, int] = {}
+    for a, b in zip(sources, targets, strict=True):
+        ways.setdefault(a, []).append(b)
+        waits[b] = waits.get(b, 0) + 1
+        waits.setdefault(a, 0)
+    ready = [s for s, n in waits.items() if n == 0]
+    heapq.heapify(ready)
+    out = []
+    while ready:
+        s = heapq.heappop(ready)
+        out.append(s)
+        for t in ways.get(s, ()):
+            waits[t] -= 1
+            if waits[t] == 0:
+                heapq.heappush(ready, t)
+    return out
+
+
+def topological_order(edges: DataFrame, edge_type: str | None = "import", local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(position, symbol_id): always the smallest symbol that is ready next; cyclic parts left out.
 
-    The exact order is sequential by definition and made in one task over the edge list of ONE graph (a repository's imports).
+    One task orders at most ``local_edges`` edges. More are ordered by connected component, one task each: the exact order of
+    ONE connected graph is sequential by definition. The whole order takes from the components whichever holds the smallest
+    ready symbol, so a symbol that follows a greater one of its component comes right after it; sorting by the greatest symbol
+    so far of the component, then by place in it, is that merge.
     """
     import pandas as pd
 
-    links = clean_edges(edges, edge_type).select("source_id", "target_id").where("source_id != target_id").distinct()
+    links = cut_lineage(clean_edges(edges, edge_type).select("source_id", "target_id").where("source_id != target_id").distinct())
+    if links.count() <= local_edges:
 
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        import heapq
+        def whole(batches):
+            kept = [b for b in batches if len(b)]
+            if kept:
+                out = _order(*(pd.concat([b[c] for b in kept]) for c in ("source_id", "target_id")))
+                yield pd.DataFrame({"position": range(1, len(out) + 1), "symbol_id": out})
 
-        ways: dict[str, list[str]] = {}
-        waits: dict[str, int] = {}
-        for a, b in zip(pdf["source_id"], pdf["target_id"], strict=True):
-            ways.setdefault(a, []).append(b)
-            waits[b] = waits.get(b, 0) + 1
-            waits.setdefault(a, 0)
-        ready = [s for s, n in waits.items() if n == 0]
-        heapq.heapify(ready)
-        out = []
-        while ready:
-            s = heapq.heappop(ready)
-            out.append(s)
-            for t in ways.get(s, ()):
-                waits[t] -= 1
-                if waits[t] == 0:
-                    heapq.heappush(ready, t)
-        return pd.DataFrame({"position": range(1, len(out) + 1), "symbol_id": out})
-
-    return links.withColumn("graph", F.lit("all")).groupBy("graph").applyInPandas(order, "position bigint, symbol_id string")
+        return links.coalesce(1).mapInPandas(whole, "position bigint, symbol_id string")
+
+    def order(pdf: pd.DataFrame) -> pd.DataFrame:
+        from itertools import accumulate
+
+        out = _order(pdf["source_id"], pdf["target_id"])
+        return pd.DataFrame({"high": list(accumulate(out, max)), "place": range(len(out)), "symbol_id": out}).astype({"high": object, "place": "int64", "symbol_id": object})
+
+    grouped = join_split_hot(links.withColumn("symbol_id", F.col("source_id")), components(links), "symbol_id", "inner")
+    placed = grouped.select("component", "source_id", "target_id").groupBy("component").applyInPandas(order, "high string, place bigint, symbol_id string")
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(cut_lineage(placed).repartitionByRange(parts, "high", "place").withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("high", "place"))
+    return placed.withColumn("inside", inside).join(F.broadcast(offsets), "part").select((F.col("inside") + F.col("offset")).alias("position"), "symbol_id")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -391,9 +391,8 @@ def inheritance_levels(spark, sf_dir):
 
 @query()
 def import_order(spark, sf_dir):
-    """The imports of one repository in topological order."""
-    edges = read_table(spark, sf_dir, "graph_edges").where("startswith(source_id, 'ordered_tally_1000.')")
-    return graph.topological_order(edges, "import")
+    """All imports in topological order."""
+    return graph.topological_order(read_table(spark, sf_dir, "graph_edges"), "import")
 
 
 @query(f"""WITH p AS (SELECT DISTINCT s, t FROM ({_EDGES}) WHERE k IN ('call', 'inferred')), o AS (SELECT s AS x, count(*) AS n FROM p GROUP BY 1), i AS (SELECT t AS x, count(*) AS n FROM p GROUP BY 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import vectors
 from codeloom.operators import chunking, context, graph, metrics, resolve, retrieval, store
+from codeloom.plans import reference
 from codeloom.sources import exchange, files
 from codeloom.streaming import debounce
 
@@ -87,6 +88,29 @@ def test_cycles_of_any_length(spark):
         assert sorted(map(tuple, graph.cycles(edges_of(spark, pairs, "import"), 4, local_edges=local).collect())) == sorted(w for w in want if w[1] <= 4)
 
 
+def slow_order(pairs):
+    left, out = {x for p in pairs for x in p}, []
+    while ready := sorted(x for x in left if not any(b == x and a in left for a, b in pairs)):
+        out.append(ready[0])
+        left.discard(ready[0])
+    return out
+
+
+def test_order_of_many_components(spark, tmp_path):
+    rng = random.Random(11)
+    names = [f"s{i:02d}" for i in range(40)]
+    rng.shuffle(names)
+    pairs = [(names[i], names[j]) for i in range(40) for j in range(i + 1, 40) if i % 5 == j % 5 and rng.random() < 0.3]
+    pairs = list({*pairs, ("b", "a"), ("z", "c"), ("loop", "loop2"), ("loop2", "loop"), ("loop2", "behind")})
+    want = slow_order(pairs)
+    assert len(want) > 30 and "behind" not in want
+    for local in (graph.LOCAL_EDGES, 0):
+        assert [r.symbol_id for r in graph.topological_order(edges_of(spark, pairs, "import"), local_edges=local).orderBy("position").collect()] == want
+    assert {tuple(r) for r in graph.topological_order(edges_of(spark, pairs, "import"), local_edges=0).select("position").collect()} == {(i + 1,) for i in range(len(want))}
+    edges_of(spark, pairs, "import").write.parquet(str(tmp_path / "graph_edges.parquet"))
+    assert [r.symbol_id for r in reference.import_order(spark, str(tmp_path)).orderBy("position").collect()] == want
+
+
 def test_inferred_edges_can_be_left_out(spark):
     e = edges_of(spark, [("a", "b")]).unionByName(edges_of(spark, [("b", "c")], "inferred"))
     assert graph.reach(graph.clean_edges(e), "a", 5).count() == 2
