@@ -1,6 +1,7 @@
 """Text cut off by field limits: corpus vocabulary trie, end-of-text structure and length evidence.
 
-One pass over the whole texts gives two things. *Facts* are counts over all documents: words (without each text's last
+Reading the whole texts gives two things. *Facts* are counts over all distinct texts, so that copies of one text do not vouch
+for how it ends: words (without each text's last
 token), words that end a list item inside a text, shapes of tokens before a full stop inside a text, and closing lines with
 one or two words masked. *Tails* describe how each text ends. A text is judged from its tail alone where that suffices (open
 code block, trace of a cut, unfinished table row, sentence mark); otherwise the tail's keys look up the facts: the closing
@@ -23,7 +24,7 @@ from codeloom.session import cut_lineage
 
 #: Texts up to this many characters are no cases.
 LEAST_CHARS = 10
-#: Share of the texts that must end in a closing line for it to count as one, and the least number of texts.
+#: Share of the distinct texts that must end in a closing line for it to count as one, and the least number of texts.
 CLOSER_SHARE, CLOSER_LEAST = 0.001, 3
 #: Share of all full stops inside texts that must follow a token shape for it to be one.
 SHAPE_SHARE = 0.0002
@@ -147,6 +148,7 @@ def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         counts: Counter = Counter()
         for text in batch["text"]:
+            counts["text", ""] += 1
             facts_of(text, counts)
             verdict, kind, _, keys = tail_of(text)
             if verdict == "ask" and kind in ("ellipsis", "closing line"):
@@ -170,7 +172,8 @@ def judge_ends(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     body = F.rtrim(F.col(text))
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"), F.length(text).cast("bigint").alias("n_chars")).where(F.length(body) > LEAST_CHARS)
     id_type = dict(docs.dtypes)["doc_id"]
-    facts = docs.select("text").mapInPandas(_facts, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    distinct = docs.groupBy(*[F.xxhash64(F.lit(i), "text").alias(f"h{i}") for i in (1, 2)]).agg(F.first("text").alias("text"))
+    facts = distinct.select("text").mapInPandas(_facts, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     facts = cut_lineage(facts)
     tails = cut_lineage(docs.mapInPandas(_tails, f"doc_id {id_type}, source string, n_chars bigint, verdict string, kind string, token string, keys array<string>"))
 
@@ -178,11 +181,11 @@ def judge_ends(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     totals = lengths.groupBy("place").agg(F.sum("n").alias("of"))
     limits = lengths.join(totals, "place").where((F.col("n") >= LIMIT_LEAST) & (F.col("n") >= LIMIT_SHARE * F.col("of"))).groupBy("place").agg(F.max("n_chars").alias("field_limit"))
 
-    total_docs = tails.count()
+    total_texts = facts.where("kind = 'text'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     stops = facts.where("kind = 'stop'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # a masked last word is a slot only if no single filler makes up half of it
     lines = facts.where("kind = 'closer'").groupBy("kind", F.substring_index("key", "\x02", 1).alias("key")).agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.bool_or(F.instr("key", "\x02") > 0).alias("slot"))
-    closers = lines.where((F.col("n") >= max(CLOSER_LEAST, CLOSER_SHARE * total_docs)) & (~F.col("slot") | (2 * F.col("top") <= F.col("n")))).select("kind", "key", "n")
+    closers = lines.where((F.col("n") >= max(CLOSER_LEAST, CLOSER_SHARE * total_texts)) & (~F.col("slot") | (2 * F.col("top") <= F.col("n")))).select("kind", "key", "n")
     items_seen = facts.where("kind = 'itemlen'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     lengths_seen = facts.where((F.col("kind") == "itemlen") & (F.col("n") >= ITEM_SHARE * items_seen))
     shapes = facts.where((F.col("kind") == "stop") & (F.col("n") >= SHAPE_SHARE * stops))

@@ -269,3 +269,12 @@ def test_cut_and_whole_ends(spark):
     report = {r.source: (r.n_docs, r.n_cut) for r in truncation.truncation_report(truncation.judge_ends(frame)).collect()}
     assert report["s2"] == (len(cut), len(cut)) and report["s1"] == (401, 0)
     assert truncation.judge_ends(frame.limit(0)).count() == 0
+
+
+def test_copies_of_a_cut_text_do_not_vouch_for_it(spark):
+    cut = ["The cold anchor meets the ledger. \n\nThe eager cursor meets", "The ledger holds. \n\nIt then turns to the…"]
+    rows = [(3000 + i, "s2", cut[i % 2]) for i in range(200)]
+    frame = spark.createDataFrame(corpus() + rows, "doc_id long, source string, text string")
+    judged = {r.doc_id: r.is_cut for r in truncation.judge_ends(frame).collect()}
+    assert all(judged[d] for d, _, _ in rows)
+    assert [d for d, is_cut in judged.items() if d < 1000 and is_cut] == []
