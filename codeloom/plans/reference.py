@@ -174,7 +174,7 @@ _TEXTS = f"SELECT file_path, line, string_split(content, chr(10))[line] AS t FRO
 
 def _line_hits(spark, sf_dir, query_text, mode, case_sensitive=False, all_terms=False):
     rows = read_table(spark, sf_dir, "processed_files").select("file_path", "content").distinct()
-    lines = text_search.explode_lines(rows.where("not contains(content, '\\r')"))
+    lines = text_search.explode_lines(rows)
     return lines.where(text_search.line_test(F.col("text"), query_text, mode, case_sensitive, all_terms)).select("file_path", "line")
 
 
@@ -203,7 +203,7 @@ f AS (SELECT DISTINCT file_path, content FROM processed_files), n AS (SELECT fil
 SELECT h.file_path, CAST(greatest(1, line - 3) AS INTEGER) AS start_line, CAST(least(total, line + 3) AS INTEGER) AS end_line, CAST(line AS INTEGER) AS match_line, array_to_string(string_split(content, chr(10))[greatest(1, line - 3):least(total, line + 3)], chr(10)) AS content, CAST(1 AS DOUBLE) AS score FROM hits h JOIN n USING (file_path)""")
 def grep_context_top(spark, sf_dir):
     """The first 20 hits with three lines around them: the report a search returns."""
-    rows = read_table(spark, sf_dir, "processed_files").where("not contains(content, '\\r')").select("file_path", "content").distinct()
+    rows = read_table(spark, sf_dir, "processed_files").select("file_path", "content").distinct()
     return text_search.search_lines(rows, "nothing left to", case_sensitive=True).drop("chunk_id")
 
 

@@ -163,6 +163,16 @@ def test_vector_search_and_index(spark):
     assert retrieval.similar_to(points, 7, 5).where("chunk_id = 7").count() == 0
 
 
+def test_line_queries_read_carriage_returns(spark, tmp_path):
+    text = "x\r\nGiving up after it\r\nReturns the limit held\rdef an_edge(\nnothing left to do\r\n"
+    spark.createDataFrame([("a.py", text), ("b.py", None)], "file_path string, content string").write.parquet(str(tmp_path / "processed_files.parquet"))
+    want = {"grep_substring": 2, "grep_case_sensitive": 3, "grep_all_terms": 3, "grep_regex": 4}
+    for name, line in want.items():
+        assert [tuple(r) for r in reference.QUERIES[name](spark, str(tmp_path)).collect()] == [("a.py", line)], name
+    top = reference.grep_context_top(spark, str(tmp_path)).collect()
+    assert [(r.start_line, r.match_line, r.end_line, r.content.split("\n")[-1]) for r in top] == [(2, 5, 5, "nothing left to do")]
+
+
 def test_search_modes(spark):
     files_ = spark.createDataFrame([("a.py", "alpha beta\ngamma\n"), ("tests/b.py", "alpha\n")], "file_path string, content string")
     embed = vectors.hash_embedder(16)
