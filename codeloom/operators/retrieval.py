@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.text import excluded, matches_glob, parse_query
 from codeloom.functions.vectors import cosine, norm, unit
 from codeloom.operators.text_search import search_lines
+from codeloom.session import within_time
 
 MODES = ("hybrid", "vector", "grep", "fuzzy", "summary")
 
@@ -18,7 +19,7 @@ def literal_vector(values: list[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def vector_search(points: DataFrame, query: list[float], limit: int = 10, file_filter: str | None = None, artifact_types: list[str] | None = None, vector: str = "vector", key: str = "chunk_id") -> DataFrame:
+def vector_search(points: DataFrame, query: list[float], limit: int = 10, file_filter: str | None = None, artifact_types: list[str] | None = None, vector: str = "vector", key: str = "chunk_id", exclude: list[str] | None = None) -> DataFrame:
     """``points`` with a score column: the ``limit`` rows of highest cosine to ``query``, ties by key.
 
     Filters come before the cut, so that it never yields less than there is. Points of another dimension or without length
@@ -26,6 +27,8 @@ def vector_search(points: DataFrame, query: list[float], limit: int = 10, file_f
     """
     if file_filter:
         points = points.where(matches_glob(F.col("file_path"), file_filter))
+    if exclude:
+        points = points.where(~excluded(F.col("file_path"), exclude))
     if artifact_types:
         points = points.where(F.col("artifact_type").isin(artifact_types))
     return points.withColumn("score", cosine(F.col(vector), literal_vector(query))).orderBy(F.col("score").desc(), F.col(key)).limit(limit)
@@ -139,11 +142,59 @@ def rerank(results: DataFrame, scorer: Callable[[Column], Column] | None, top_k:
     return finish(results.withColumn("score", scorer(F.col(text))) if scorer else results, top_k, key)
 
 
-def search(points: DataFrame, files: DataFrame, query: str, embed: Callable[[str], list[float]], mode: str = "hybrid", limit: int = 10, artifact_types: list[str] | None = None, candidates: int = 20, scorer: Callable[[Column], Column] | None = None, recall: int = 5, **text_options) -> DataFrame:
+def rerank_by_response(candidates: DataFrame, response: DataFrame, top_k: int, key: str = "chunk_id") -> DataFrame:
+    """Candidates in the order of a scorer's answer: ``response`` (position, score), position 0 being the best candidate.
+
+    Positions outside the list, null scores and repeated positions (the best score counts) are dropped; an empty answer
+    leaves the order as it was. Candidates are a result list.
+    """
+    place = F.row_number().over(Window.orderBy(F.col("score").desc(), F.col(key))) - 1
+    placed = candidates.withColumn("_place", place)
+    given = response.where(F.col("score").isNotNull()).groupBy(F.col("position").cast("int").alias("_place")).agg(F.max("score").alias("_new"))
+    chosen = placed.join(given, "_place", "left")
+    answered = chosen.agg(F.count("_new").alias("_n"))
+    kept = chosen.crossJoin(F.broadcast(answered)).where("_n = 0 or _new is not null")
+    return finish(kept.withColumn("score", F.coalesce("_new", "score").cast("double")).drop("_place", "_new", "_n"), top_k, key)
+
+
+def read_rerank_answer(answer: Column) -> Column:
+    """array<struct<position, score>> of a JSON answer with its rows under ``results`` or ``data`` and their scores under
+    ``relevance_score`` or ``score``; null for other text."""
+    row = "array<struct<index:int,relevance_score:double,score:double>>"
+    parsed = F.from_json(answer, f"struct<results:{row},data:{row}>")
+    rows = F.coalesce(parsed["results"], parsed["data"])
+    return F.transform(rows, lambda r: F.struct(r["index"].alias("position"), F.coalesce(r["relevance_score"], r["score"]).alias("score")))
+
+
+def extra_payload(payload: Column, core: tuple[str, ...] = ("chunk_id", "file_path", "start_line", "end_line", "content", "artifact_type")) -> Column:
+    """The entries of a payload map that have no column of their own."""
+    return F.map_filter(payload, lambda k, _: ~k.isin(*core))
+
+
+def vector_stats(points: DataFrame) -> DataFrame:
+    """One row: number of stored vectors and of the distinct files they come from (blank paths are none)."""
+    path = F.when(F.trim("file_path") != "", F.col("file_path"))
+    return points.agg(F.count(F.lit(1)).alias("n_points"), F.count_distinct(path).alias("n_point_files"))
+
+
+def distinct_files(points: DataFrame) -> DataFrame:
+    return points.where(F.trim("file_path") != "").select("file_path").distinct()
+
+
+def store_points(old: DataFrame | None, new: DataFrame, dimension: int) -> DataFrame:
+    """Stored vectors with ``new`` in place of those of equal chunk_id; without an artifact_type a point is a chunk."""
+    kind = F.coalesce("artifact_type", F.lit("chunk")) if "artifact_type" in new.columns else F.lit("chunk")
+    ready = assert_dimension(new.withColumn("artifact_type", kind), dimension).dropDuplicates(["chunk_id"])
+    return ready if old is None else old.join(ready.select("chunk_id"), "chunk_id", "left_anti").unionByName(ready, allowMissingColumns=True)
+
+
+def search(points: DataFrame, files: DataFrame, query: str, embed: Callable[[str], list[float]], mode: str = "hybrid", limit: int = 10, artifact_types: list[str] | None = None, candidates: int = 20, scorer: Callable[[Column], Column] | None = None, recall: int = 5, isolated: bool = False, seconds: float | None = None, **text_options) -> DataFrame:
     """Search in one of five modes over points (vectors) and files (text), with path modifiers in the query.
 
-    With a ``scorer`` the vector side takes ``recall`` times the candidates and text scores are not scaled. The text side is
-    left out where only other artifacts than chunks are asked for.
+    Path filters and exclusions come before any cut, so that excluded files never push wanted hits out. With a ``scorer`` the
+    vector side takes ``recall`` times the candidates and text scores are not scaled. The text side is left out where only
+    other artifacts than chunks are asked for. With ``isolated`` the sides of a hybrid search run at once, and one that fails,
+    or is not done after ``seconds``, leaves the other's hits; only if none is left the search fails.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
@@ -152,16 +203,20 @@ def search(points: DataFrame, files: DataFrame, query: str, embed: Callable[[str
     if mode == "summary":
         artifact_types = artifact_types or ["function_summary", "class_summary", "file_summary"]
     wanted = candidates * recall if scorer else candidates
-    vector = lambda: vector_search(points, embed(clean), wanted, include, artifact_types)
-    text = lambda m: search_lines(files, clean, m, candidates, file_filter=include, **text_options)
     columns = ["chunk_id", "file_path", "start_line", "end_line", "content", "score"]
+    vector = lambda: vector_search(points, embed(clean), wanted, include, artifact_types, exclude=exclude).select(columns)
+    text = lambda m: search_lines(files, clean, m, candidates, file_filter=include, exclude=exclude, **text_options).select(columns)
     if mode in ("vector", "summary"):
-        found = vector().select(columns)
+        found = vector()
     elif mode in ("grep", "fuzzy"):
-        found = text("substring" if mode == "grep" else "fuzzy").select(columns)
+        found = text("substring" if mode == "grep" else "fuzzy")
     elif artifact_types and "chunk" not in artifact_types:
-        found = vector().select(columns)
+        found = vector()
+    elif isolated:
+        sides, lost = within_time(points.sparkSession, {"vector": vector, "text": lambda: text("substring")}, seconds)
+        if not sides:
+            raise RuntimeError(f"no side of the search answered: {lost}")
+        found = merge_hits(sides["vector"], sides["text"], scale=scorer is None).select(columns) if len(sides) == 2 else next(iter(sides.values()))
     else:
         found = merge_hits(vector(), text("substring"), scale=scorer is None).select(columns)
-    found = found.where(~excluded(F.col("file_path"), exclude)) if exclude else found
     return rerank(found, scorer, limit)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +42,12 @@ def file_stats(files: DataFrame) -> DataFrame:
     return files.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("n_chunks"), F.coalesce(F.sum("line_count"), F.lit(0)).alias("n_lines"))
 
 
+def combined_stats(files: DataFrame) -> DataFrame:
+    """One row: the counts of ``file_stats`` and a map of files per language."""
+    languages = language_counts(files).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "n_files")))).alias("languages"))
+    return file_stats(files).crossJoin(F.broadcast(languages))
+
+
 def language_counts(files: DataFrame) -> DataFrame:
     return files.groupBy(F.lower(F.coalesce("language", F.lit("unknown"))).alias("language")).agg(F.count(F.lit(1)).alias("n_files"))
 
@@ -83,65 +87,104 @@ def nearest_root(paths: DataFrame, roots: DataFrame) -> DataFrame:
     return up.join(roots.select("root_path").distinct(), "root_path").groupBy("file_path").agg(F.max_by("root_path", F.length("root_path")).alias("root_path"))
 
 
+def rows_of(table: DataFrame, column: str, values: list) -> DataFrame:
+    """Point look-up: the rows whose ``column`` is one of a few values; the scan takes the equality."""
+    return table.where(F.col(column).isin(values)) if len(values) != 1 else table.where(F.col(column) == values[0])
+
+
+def symbols_in_file(symbols: DataFrame, edges: DataFrame, path: str) -> DataFrame:
+    """Symbols of one file in order of line, each with the references to it as an array of (file_path, line)."""
+    own = rows_of(symbols, "file_path", [path]).select("fqn", "start_line", "end_line", "symbol_type").distinct()
+    seen = edges.select(F.trim("target_id").alias("fqn"), F.struct("file_path", "line").alias("_r")).join(own.select("fqn").distinct(), "fqn", "left_semi")
+    refs = seen.groupBy("fqn").agg(F.array_sort(F.collect_set("_r")).alias("references"))
+    none = F.array().cast("array<struct<file_path:string,line:int>>")
+    return own.join(refs, "fqn", "left").withColumn("references", F.coalesce("references", none)).orderBy("start_line", "fqn")
+
+
+def merge_pending(first: DataFrame, second: DataFrame, path: str = "file_path") -> DataFrame:
+    """Paths of either of two waiting batches, each once: what a later update has to look at."""
+    return first.select(path).unionByName(second.select(path)).where(F.col(path).isNotNull()).distinct()
+
+
 def symbols_by_name(symbols: DataFrame, name: str) -> DataFrame:
     """Symbols whose fqn is the name or ends in ``.name``; letter case and underscores are literal."""
     return symbols.where((F.col("fqn") == name) | F.col("fqn").endswith("." + name))
 
 
 class FolderStore:
-    """Named Parquet tables under one folder. A write goes to a fresh folder and becomes current by renaming one small
-    pointer file, so readers see the old table or the new one, never a mixture; a failed write changes nothing."""
+    """Named Parquet tables under one folder, each in independent parts (such as one per collection).
+
+    A write makes a new numbered version of one part; a version counts once Spark has written its ``_SUCCESS`` file, so that
+    readers see the old rows or the new ones, never a mixture or a gap, and a failed write changes nothing. The version before
+    the newest is kept until the next write, for readers that hold a plan over it. One writer at a time per part.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def _fs(self, path: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _current(self, name: str) -> str | None:
-        fs, p = self._fs(f"{self.root}/{name}/CURRENT")
-        if not fs.exists(p):
-            return None
-        stream = fs.open(p)
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
-        finally:
-            stream.close()
-
-    def exists(self, name: str) -> bool:
-        return self._current(name) is not None
-
-    def read(self, name: str) -> DataFrame:
-        version = self._current(name)
-        if version is None:
-            raise FileNotFoundError(f"{self.root}/{name}")
-        return self.spark.read.parquet(f"{self.root}/{name}/{version}")
-
-    def write(self, name: str, rows: DataFrame, partition_by: list[str] | None = None) -> None:
-        version = uuid.uuid4().hex
-        writer = rows.write.partitionBy(*partition_by) if partition_by else rows.write
-        writer.parquet(f"{self.root}/{name}/{version}")
-        fs, fresh = self._fs(f"{self.root}/{name}/CURRENT.{version}")
-        out = fs.create(fresh, True)
-        out.write(bytearray(version, "utf-8"))
-        out.close()
-        _, target = self._fs(f"{self.root}/{name}/CURRENT")
-        old = self._current(name)
-        if fs.exists(target):
-            fs.delete(target, False)
-        fs.rename(fresh, target)
-        if old:
-            fs.delete(self._fs(f"{self.root}/{name}/{old}")[1], True)
-
-    def upsert(self, name: str, rows: DataFrame, keys: list[str]) -> None:
-        self.write(name, upsert(self.read(name), rows, keys) if self.exists(name) else rows.dropDuplicates(keys))
-
-    def drop(self, name: str) -> None:
-        fs, p = self._fs(f"{self.root}/{name}")
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return sorted(x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory()) if fs.exists(p) else []
+
+    def _current(self, name: str, part: str) -> str | None:
+        folder = f"{self.root}/{name}/{part}"
+        for version in reversed(self._names(folder)):
+            fs, done = self._fs(f"{folder}/{version}/_SUCCESS")
+            if fs.exists(done):
+                return version
+        return None
+
+    def parts(self, name: str) -> list[str]:
+        return [p for p in self._names(f"{self.root}/{name}") if self._current(name, p)]
+
+    def exists(self, name: str, part: str | None = None) -> bool:
+        return self._current(name, part) is not None if part else bool(self.parts(name))
+
+    def read(self, name: str, part: str | None = None) -> DataFrame:
+        """All parts, or one; columns that a part lacks are null there."""
+        chosen = [part] if part else self.parts(name)
+        paths = [f"{self.root}/{name}/{p}/{v}" for p in chosen if (v := self._current(name, p))]
+        if not paths:
+            raise FileNotFoundError(f"{self.root}/{name}" + (f"/{part}" if part else ""))
+        return self.spark.read.option("mergeSchema", len(paths) > 1).parquet(*paths)
+
+    def write(self, name: str, rows: DataFrame, part: str = "all") -> None:
+        folder = f"{self.root}/{name}/{part}"
+        versions, current = self._names(folder), self._current(name, part)
+        number = max((int(v[1:]) for v in versions), default=0) + 1
+        rows.write.parquet(f"{folder}/v{number:012d}")
+        for old in versions:
+            if old != current:
+                fs, p = self._fs(f"{folder}/{old}")
+                fs.delete(p, True)
+
+    def upsert(self, name: str, rows: DataFrame, keys: list[str], part: str = "all") -> None:
+        self.write(name, upsert(self.read(name, part), rows, keys) if self.exists(name, part) else rows.dropDuplicates(keys), part)
+
+    def drop(self, name: str, part: str | None = None) -> None:
+        fs, p = self._fs(f"{self.root}/{name}" + (f"/{part}" if part else ""))
         fs.delete(p, True)
 
+    # markers of batches that have begun: one part of the table ``pending`` each
+
+    def begin(self, batch: str, rows: DataFrame) -> None:
+        """Leave a marker that names the files (and, where given, the chunks) of ``rows`` until ``finish`` removes it."""
+        chunk = F.col("chunk_id") if "chunk_id" in rows.columns else F.lit(None).cast("string")
+        self.write("pending", rows.select(F.lit(batch).alias("batch_id"), "file_path", chunk.alias("chunk_id"), F.current_timestamp().alias("created_at")), batch)
+
+    def finish(self, batch: str) -> None:
+        self.drop("pending", batch)
+
+    def unfinished(self) -> DataFrame:
+        """(batch_id, file_path, chunk_id, created_at) of all markers; empty without any."""
+        if self.exists("pending"):
+            return self.read("pending")
+        return self.spark.createDataFrame([], "batch_id string, file_path string, chunk_id string, created_at timestamp")
+
 
 def pending_batches(markers: DataFrame) -> DataFrame:
     """Markers oldest first, their JSON lists as arrays."""

@@ -16,6 +16,23 @@ PARSERS: dict[str, tuple[Callable, Callable]] = {"python": (python.definitions,
     name: (lambda text, n=name: braces.definitions(text, n), lambda text, n=name: braces.references(text, n)) for name in ("javascript", "typescript", "go", "java", "c", "cpp")
 }
 
+#: language: what is wrong with a source, or None; for languages whose parser can tell.
+CHECKS: dict[str, Callable[[str], str | None]] = {"python": python.syntax_error}
+#: language: (text, language) -> import lines, where the built-in reader does not do.
+IMPORTS: dict[str, Callable[[str, str], list[str]]] = {}
+
+
+def register_parser(language: str, definitions: Callable[[str], list[tuple]], references: Callable[[str], list[tuple]], imports: Callable[[str, str], list[str]] | None = None, check: Callable[[str], str | None] | None = None) -> None:
+    """Add or replace the parser of a language, for plans made afterwards: the functions travel with the plan."""
+    name = language.strip().lower()
+    PARSERS[name] = (definitions, references)
+    for table, given in ((IMPORTS, imports), (CHECKS, check)):
+        if given:
+            table[name] = given
+        else:
+            table.pop(name, None)
+
+
 _NODE = "node_type string, name string, start_line int, end_line int, content string, parent_name string, docstring string"
 _REF = "name string, ref_type string, line int, parent_symbol string"
 
@@ -53,9 +70,11 @@ def parse_files(files: DataFrame) -> DataFrame:
     """(file_path, language, nodes, refs, imports, error) with nodes and refs as arrays of structs.
 
     ``files`` has file_path, language and content. Files of other languages, and null contents, have empty arrays; a parser
-    that fails leaves its message in ``error`` and empty arrays, and the other files are not touched by it.
+    that fails, or a Python source that does not parse, leaves its message in ``error`` and empty arrays, and the other files
+    are not touched by it.
     """
     chosen = files.select("file_path", F.lower("language").alias("language"), "content")
+    parsers, checks, importers = dict(PARSERS), dict(CHECKS), dict(IMPORTS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         node, ref = ([c.split()[0] for c in s.split(", ")] for s in (_NODE, _REF))
@@ -66,12 +85,13 @@ def parse_files(files: DataFrame) -> DataFrame:
                 refs: list = []
                 imports: list = []
                 error = None
-                if language in PARSERS and isinstance(text, str):
+                if language in parsers and isinstance(text, str):
                     try:
-                        define, refer = PARSERS[language]
+                        define, refer = parsers[language]
                         nodes = [dict(zip(node, n, strict=True)) for n in define(text)]
                         refs = [dict(zip(ref, r, strict=True)) for r in refer(text)]
-                        imports = import_lines(text, language)
+                        imports = importers.get(language, import_lines)(text, language)
+                        error = checks[language](text) if language in checks else None
                     except Exception as e:  # one file must not end the job
                         nodes, refs, imports, error = [], [], [], f"{type(e).__name__}: {e}"
                 out.append((path, language, nodes, refs, imports, error))

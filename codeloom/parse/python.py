@@ -3,6 +3,20 @@
 from __future__ import annotations
 
 import ast
+from functools import lru_cache
+
+
+@lru_cache(maxsize=1)
+def _tree(text: str) -> tuple[ast.Module | None, str | None]:
+    """The syntax tree, or what is wrong with the source; kept for the next question about the same text."""
+    try:
+        return ast.parse(text), None
+    except (SyntaxError, ValueError, RecursionError) as error:
+        return None, f"{type(error).__name__}: {error}"
+
+
+def syntax_error(text: str) -> str | None:
+    return _tree(text)[1]
 
 
 def definitions(text: str) -> list[tuple]:
@@ -10,9 +24,8 @@ def definitions(text: str) -> list[tuple]:
 
     Functions inside functions are not entered; decorators do not count into the range; a broken source has none.
     """
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+    tree = _tree(text)[0]
+    if tree is None:
         return []
     lines, out = text.split("\n"), []
 
@@ -59,10 +72,11 @@ def _type_names(node: ast.AST | None) -> list[str]:
 
 
 def references(text: str) -> list[tuple]:
-    """(name, ref_type, line, parent_symbol): calls, annotated types, base classes and imports with their enclosing symbol."""
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+    """(name, ref_type, line, parent_symbol): calls, annotated types, base classes and imports with their enclosing symbol.
+
+    A broken source has none."""
+    tree = _tree(text)[0]
+    if tree is None:
         return []
     out: list[tuple] = []
 

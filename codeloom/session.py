@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
+import uuid
 import zipfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor, wait
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +41,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The files outlive a lost executor, unlike those of a local checkpoint.
     """
     spark = df.sparkSession
+    with _SETTING:
+        _set_checkpoint_folder(spark)
+    return df.checkpoint(eager=True)
+
+
+_SETTING = threading.Lock()
+
+
+def _set_checkpoint_folder(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,7 +58,34 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="codeloom-checkpoint-")
         context.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+
+
+def within_time(spark: SparkSession, tasks: dict[str, Callable[[], DataFrame]], seconds: float | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """(results, left out by reason) of small result lists, made and materialised at once in one thread each.
+
+    A task that raises is left out with its error; one that is not done after ``seconds`` is left out and its jobs are
+    cancelled. Results are cut from their lineage, so a later read cannot fail on what a task did.
+    """
+    context, run = spark.sparkContext, uuid.uuid4().hex
+    pool = ThreadPoolExecutor(max(1, len(tasks)))
+
+    def work(name: str) -> DataFrame:
+        context.setJobGroup(f"{run}-{name}", name, interruptOnCancel=True)
+        return cut_lineage(tasks[name]())
+
+    futures = {name: pool.submit(work, name) for name in tasks}
+    wait(futures.values(), timeout=seconds)
+    done, left_out = {}, {}
+    for name, future in futures.items():
+        if not future.done():
+            context.cancelJobGroup(f"{run}-{name}")
+            left_out[name] = "out of time"
+        elif future.exception() is not None:
+            left_out[name] = f"{type(future.exception()).__name__}: {future.exception()}"
+        else:
+            done[name] = future.result()
+    pool.shutdown(wait=False, cancel_futures=True)
+    return done, left_out
 
 
 def ship_package(spark: SparkSession) -> None:
