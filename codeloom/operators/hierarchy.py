@@ -8,24 +8,28 @@ inside a partition at some level, at the latest in the last one.
 
 A node whose root is known leaves the forest, so only unsolved exits go up a level. Should keys have no locality (a level
 keeps more than ``STUBBORN`` of its nodes), every link is followed twice before the next contraction (pointer doubling),
-which bounds the number of levels by the logarithm of the depth; what is unsolved after ``DOUBLINGS`` of them never ends.
+which bounds the number of levels by the logarithm of the depth: after as many doublings as the node count has binary digits
+every chain has been followed further than there are nodes, so what is still open then runs in a cycle.
+
+Roots, depths and cycles are settled first, with links that carry only a number of steps. Paths, which are as long as a node
+is deep, are made afterwards and only for the part that ends, so nothing grows on a cycle.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.operators.skew import join_split_hot
 from codeloom.session import cut_lineage
 
 #: Most nodes that one partition of a level follows in memory (about 200 bytes each).
-FRAGMENT_ROWS = 250_000
+FRAGMENT_ROWS = 20_000
 STUBBORN = 0.7
-#: 2 to this power exceeds the number of nodes of any input.
-DOUBLINGS = 45
 
 _FRAGMENT = "key string, exit string, exit_parent string, exit_steps bigint, exit_via array<string>, steps bigint, chain array<string>, root string, depth bigint, path array<string>, endless boolean"
 
@@ -101,7 +105,7 @@ def _quotient(fragments: DataFrame) -> DataFrame:
     above = fragments.select(F.col("key").alias("p"), "exit", "exit_parent", F.col("steps").alias("t"), "chain", "root", "depth", "path", "endless")
     solved = F.col("exit_parent").isNull()
     steps, via = F.col("s") + F.col("t"), F.concat("chain", "v")
-    return exits.join(above, "p").select(
+    return join_split_hot(exits, above, "p", "inner").select(
         "key",
         F.when(~solved, F.col("exit")).alias("parent"),
         steps.alias("steps"),
@@ -116,7 +120,7 @@ def _quotient(fragments: DataFrame) -> DataFrame:
 def _doubled(nodes: DataFrame) -> DataFrame:
     above = nodes.where("parent is not null").select(F.col("key").alias("parent"), F.col("parent").alias("p2"), F.col("steps").alias("s2"), F.col("via").alias("v2"))
     far = F.col("p2").isNotNull()
-    return nodes.join(above, "parent", "left").select(
+    return join_split_hot(nodes, above, "parent", "left").select(
         "key",
         F.coalesce("p2", "parent").alias("parent"),
         F.when(far, F.col("steps") + F.col("s2")).otherwise(F.col("steps")).alias("steps"),
@@ -128,40 +132,31 @@ def _doubled(nodes: DataFrame) -> DataFrame:
     )
 
 
-def resolve_hierarchy(links: DataFrame, child: str = "child", parent: str = "parent", with_path: bool = True, fragment_rows: int = FRAGMENT_ROWS, fragments: int | None = None) -> DataFrame:
-    """(key, root, depth, path, endless) for every key that occurs as child or parent.
-
-    ``path`` runs from the root to the key, both included (empty for endless keys and when ``with_path`` is off; a path has
-    as many entries as the key is deep). Keys whose parents never end in a root get root ``''``, depth -1, endless true.
-    Null or empty children are ignored; a null or empty parent makes the child a root. Repeated links count once; of several
-    parents the smallest key is taken. An empty input gives an empty result. Extra columns are ignored.
-
-    ``fragments`` forces the number of partitions of the first level (tests); otherwise it follows from the node count.
-    """
-    text = lambda c: F.when(F.col(c).cast("string") != "", F.col(c).cast("string"))
-    pairs = links.select(text(child).alias("key"), text(parent).alias("parent")).where("key is not null")
-    owners = pairs.select(F.col("parent").alias("key"), F.lit(None).cast("string").alias("parent")).where("key is not null")
-    nodes = pairs.unionByName(owners).groupBy("key").agg(F.min("parent").alias("parent"))
+def _solve(nodes: DataFrame, with_path: bool, fragment_rows: int, fragments: int | None) -> DataFrame:
+    """(key, root, depth, path, endless) of (key, parent) rows, one per key."""
     top = F.col("parent").isNull()
     nodes = nodes.select(
-        "key", "parent", F.lit(1).cast("bigint").alias("steps"), _empty().alias("via"), F.when(top, F.col("key")).alias("root"), F.lit(0).cast("bigint").alias("depth"), F.when(top, F.array("key")).otherwise(_empty()).alias("path"), F.lit(False).alias("endless")
+        "key", "parent", F.lit(1).cast("bigint").alias("steps"), _empty().alias("via"), F.when(top, F.col("key")).alias("root"), F.lit(0).cast("bigint").alias("depth"), F.when(top & F.lit(with_path), F.array("key")).otherwise(_empty()).alias("path"), F.lit(False).alias("endless")
     )
     nodes = cut_lineage(nodes)
     rows, levels, doublings = nodes.count(), [], 0
+    most = max(1, rows).bit_length() + 1
     while True:
-        parts = fragments if fragments and not levels else -(-max(rows, 1) // fragment_rows)
+        parts = -(-max(rows, 1) // fragment_rows)
+        if not levels:  # tasks grow with the square root of the input, as long as that leaves them small
+            parts = fragments or max(parts, math.isqrt(rows) // 8, 1)
         placed = nodes.coalesce(1) if parts == 1 else nodes.repartitionByRange(parts, "key")
         frag = placed.mapInPandas(_contract(with_path), _FRAGMENT)
-        levels.append(frag := cut_lineage(frag) if parts > 1 else frag)
-        if parts == 1 or doublings > DOUBLINGS:
+        levels.append(frag := cut_lineage(frag))
+        if parts == 1 or doublings > most:
             break
         nodes = cut_lineage(_quotient(frag))
-        left = nodes.where("parent is not null").count()
-        if left == 0 and nodes.isEmpty():
+        now = nodes.count()
+        if now == 0:
             break
-        if left > STUBBORN * rows and left > fragment_rows:
+        if nodes.where("parent is not null").count() > STUBBORN * rows:
             nodes, doublings = cut_lineage(_doubled(nodes)), doublings + 1
-        rows = nodes.count()
+        rows = now
     solved = None
     for frag in reversed(levels):
         known = F.col("exit_parent").isNull()
@@ -170,16 +165,39 @@ def resolve_hierarchy(links: DataFrame, child: str = "child", parent: str = "par
         rest = frag.where(~known)
         if solved is None:  # the last level: what is still open there never ends
             open_ = rest.select("key", F.lit("").alias("root"), F.lit(0).cast("bigint").alias("depth"), _empty().alias("path"), F.lit(True).alias("endless"))
-            solved = own.unionByName(open_) if doublings > DOUBLINGS else own
+            solved = own.unionByName(open_)
             continue
         upper = solved.select(F.col("key").alias("exit"), "root", "depth", "path", "endless")
-        lifted = rest.select("key", "exit", "steps", "chain").join(upper, "exit").select("key", "root", depth.alias("depth"), path.alias("path"), "endless")
+        lifted = join_split_hot(rest.select("key", "exit", "steps", "chain"), upper, "exit", "inner").select("key", "root", depth.alias("depth"), path.alias("path"), "endless")
         solved = own.unionByName(lifted)
+    return solved
+
+
+def resolve_hierarchy(links: DataFrame, child: str = "child", parent: str = "parent", with_path: bool = True, fragment_rows: int = FRAGMENT_ROWS, fragments: int | None = None) -> DataFrame:
+    """(key, root, depth, path, endless) for every key that occurs as child or parent.
+
+    ``path`` runs from the root to the key, both included (empty for endless keys and when ``with_path`` is off; a path has
+    as many entries as the key is deep). Keys whose parents never end in a root get root ``''``, depth -1, endless true.
+    Null or empty children are ignored; a null or empty parent makes the child a root. Repeated links count once; of several
+    parents the smallest key is taken. An empty input gives an empty result. Extra columns are ignored.
+
+    ``fragments`` forces the number of partitions of the first level (tests); otherwise it follows from the node count.
+    """
+    text = lambda c: F.when(F.col(c).cast("string") != "", F.col(c).cast("string"))
+    pairs = links.select(text(child).alias("key"), text(parent).alias("parent")).where("key is not null")
+    owners = pairs.select(F.col("parent").alias("key"), F.lit(None).cast("string").alias("parent")).where("key is not null")
+    nodes = cut_lineage(pairs.unionByName(owners).groupBy("key").agg(F.min("parent").alias("parent")))
+    solved = _solve(nodes, False, fragment_rows, fragments)
+    if with_path:
+        solved = cut_lineage(solved.select("key", "root", "depth", "endless"))
+        ends = nodes.join(solved.where("not endless").select("key"), "key", "left_semi")  # closed: a parent ends where its child does
+        paths = _solve(ends, True, fragment_rows, fragments).select("key", "path")
+        solved = solved.join(paths, "key", "left")
     return solved.select(
         "key",
         F.when(F.col("endless"), F.lit("")).otherwise(F.col("root")).alias("root"),
         F.when(F.col("endless"), F.lit(-1)).otherwise(F.col("depth")).cast("int").alias("depth"),
-        (F.when(F.col("endless"), _empty()).otherwise(F.col("path")) if with_path else _empty()).alias("path"),
+        (F.coalesce("path", _empty()) if with_path else _empty()).alias("path"),
         "endless",
     )
 

@@ -51,6 +51,20 @@ def test_hierarchy_without_locality_ends_by_doubling(spark):
     assert got["loop_a"]["endless"] and got["loop_b"]["depth"] == -1
 
 
+def test_a_long_cycle_without_locality_carries_no_paths(spark):
+    ring = [(f"{i * 7919 % 60:03d}", f"{(i + 1) * 7919 % 60:03d}") for i in range(60)]
+    tail = [("x1", "x0"), ("x2", "x1"), ("y1", "000")]
+    got = {r["key"]: r for r in hierarchy.resolve_hierarchy(spark.createDataFrame(ring + tail, "child string, parent string"), fragment_rows=4).collect()}
+    assert all(got[a]["endless"] and got[a]["path"] == [] for a, _ in ring) and got["y1"]["endless"]
+    assert got["x2"]["path"] == ["x0", "x1", "x2"] and got["x2"]["depth"] == 2
+
+
+def test_hierarchy_with_a_parent_of_many(spark):
+    links = spark.range(30_000).select(F.concat(F.lit("c"), "id").alias("child"), F.when(F.col("id") % 3 == 0, "hub").otherwise(F.concat(F.lit("p"), (F.col("id") % 500).cast("string"))).alias("parent")).unionByName(spark.createDataFrame([("hub", "top")], "child string, parent string"))
+    got = hierarchy.resolve_hierarchy(links, fragment_rows=3_000)
+    assert got.where("root = 'top' and depth = 2 and size(path) = 3").count() == 10_000 and got.count() == 30_000 + 500 + 2
+
+
 def test_hierarchy_dirty_and_empty_inputs(spark):
     schema = "child string, parent string, key string, depth int"
     rows = [("b", "a", "x", 1), ("b", "a", "x", 1), ("c", "", "x", None), (None, "a", "x", 2), ("", "a", "x", 2), ("d", "d", "x", 3), ("e", "z", "y", 0), ("e", "b", "y", 0)]
