@@ -74,12 +74,13 @@ def direct_orphans(children: DataFrame, fk: ForeignKey, states: DataFrame) -> Da
 
 
 def orphan_cascade(tables: dict[str, DataFrame], parents: list[ParentKey], keys: list[ForeignKey], known: DataFrame | None = None, max_rounds: int = 50) -> DataFrame:
-    """(ref_table, ref_key, ref, ref_at, cause, kind, round): direct orphans and the rows that refer to orphaned rows.
+    """(ref_table, ref_key, ref, ref_at, cause, root_cause, kind, round): direct orphans and the rows that refer to orphaned rows.
 
     A record (ref_table, ref_key) is *inherited* when its own reference exists but names an orphaned record of another
-    listed table; rounds run down the foreign keys until nothing is added. Each round is one semi-join of the frontier
-    against the children not yet orphaned and ends in a checkpoint. ``max_rounds`` guards against a cycle of foreign keys;
-    the anti-join already stops those, so reaching it is an error.
+    listed table; rounds run down the foreign keys until nothing is added. Each round is one join of the frontier, one row per
+    orphaned record, against the children not yet orphaned, and ends in a checkpoint. An inherited row's ``cause`` is
+    ``orphaned parent``, and its ``root_cause`` that of the direct orphan it descends from (the smallest of several).
+    ``max_rounds`` guards against a cycle of foreign keys; the anti-join already stops those, so reaching it is an error.
     """
     by_parent = {p.table: p for p in parents}
     checked = [fk for fk in keys if not fk.cascade_only]
@@ -88,7 +89,7 @@ def orphan_cascade(tables: dict[str, DataFrame], parents: list[ParentKey], keys:
     for fk in checked:
         part = direct_orphans(tables[fk.table], fk, states[fk.parent])
         found = part if found is None else found.unionByName(part)
-    found = cut_lineage(found.select("*", F.lit("direct").alias("kind"), F.lit(0).alias("round")))
+    found = cut_lineage(found.select("*", F.col("cause").alias("root_cause"), F.lit("direct").alias("kind"), F.lit(0).alias("round")))
     frontier, everything = found, found
     owners = {fk.table: fk.key for fk in keys}
     for number in range(1, max_rounds + 1):
@@ -97,10 +98,10 @@ def orphan_cascade(tables: dict[str, DataFrame], parents: list[ParentKey], keys:
             parent = by_parent.get(fk.parent)
             if parent is None or fk.parent not in owners or owners[fk.parent] != parent.column:
                 continue
-            dead = frontier.where(F.col("ref_table") == fk.parent).select(_blank_to_null(F.col("ref_key")).alias("ref")).distinct()
+            dead = frontier.where(F.col("ref_table") == fk.parent).select(_blank_to_null(F.col("ref_key")).alias("ref"), "root_cause").groupBy("ref").agg(F.min("root_cause").alias("root_cause"))
             at = F.col(fk.at).cast("timestamp") if fk.at else F.lit(None).cast("timestamp")
             rows = tables[fk.table].select(F.lit(fk.table).alias("ref_table"), F.col(fk.key).cast("string").alias("ref_key"), _blank_to_null(F.col(fk.column)).alias("ref"), at.alias("ref_at")).where("ref is not null")
-            hit = join_split_hot(rows, dead, "ref", "left_semi").select("ref_table", "ref_key", "ref", "ref_at", F.lit("orphaned parent").alias("cause"), F.lit("inherited").alias("kind"), F.lit(number).alias("round"))
+            hit = join_split_hot(rows, dead, "ref", "inner").select("ref_table", "ref_key", "ref", "ref_at", F.lit("orphaned parent").alias("cause"), "root_cause", F.lit("inherited").alias("kind"), F.lit(number).alias("round"))
             grown = hit if grown is None else grown.unionByName(hit)
         if grown is None:
             return everything
@@ -112,5 +113,5 @@ def orphan_cascade(tables: dict[str, DataFrame], parents: list[ParentKey], keys:
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:
-    """(ref_table, month, kind, cause, n_refs): orphans per table and month of the reference; undated ones under null."""
-    return orphans.groupBy("ref_table", F.date_format("ref_at", "yyyy-MM").alias("month"), "kind", "cause").agg(F.count_distinct("ref_key").alias("n_refs"))
+    """(ref_table, month, kind, cause, root_cause, n_refs): orphans per table and month of the reference; undated ones under null."""
+    return orphans.groupBy("ref_table", F.date_format("ref_at", "yyyy-MM").alias("month"), "kind", "cause", "root_cause").agg(F.count_distinct("ref_key").alias("n_refs"))

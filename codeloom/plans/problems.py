@@ -27,7 +27,11 @@ def _nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = nodes.where(F.lower(F.trim("node_type")) == "class").where("node_id is not null and name is not null and file_path is not null")
     owner = classes.groupBy(place("name").alias("place")).agg(F.min("node_id").alias("parent"))
     inner = nodes.where("node_id is not null and parent_name is not null and file_path is not null").select(F.col("node_id").alias("child"), place("parent_name").alias("place")).distinct()
-    return inner.join(owner, "place").select(F.col("child").cast("string").alias("child"), F.col("parent").cast("string").alias("parent"))
+    # a class with very many members: its place is hashed, so that hot places can be told apart by value
+    hashed = lambda rows: rows.withColumn("at", F.xxhash64("place"))
+    joined = join_split_hot(hashed(inner), hashed(owner).groupBy("at").agg(F.collect_list(F.struct("place", "parent")).alias("owners")), "at", "inner")
+    joined = joined.select("child", F.filter("owners", lambda o: o["place"] == F.col("place")).alias("o")).where("size(o) > 0").select("child", F.col("o")[0]["parent"].alias("parent"))
+    return joined.select(F.col("child").cast("string").alias("child"), F.col("parent").cast("string").alias("parent"))
 
 
 def _forest(spark: SparkSession, sf_dir: str, with_path: bool) -> tuple[DataFrame, DataFrame]:
@@ -71,7 +75,8 @@ def _orphans(spark: SparkSession, sf_dir: str, keys: list[references.ForeignKey]
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    direct = _orphans(spark, sf_dir, [EDGE_TARGET, SYMBOL_NODE], [NODES]).where("kind = 'direct'")
+    """The direct orphans of the whole cascade, in which edges out of orphaned symbols are inherited ones."""
+    direct = _orphans(spark, sf_dir, [EDGE_TARGET, SYMBOL_NODE, EDGE_SOURCE], [NODES, SYMBOLS]).where("kind = 'direct'")
     return direct.select("ref_table", "ref_key", "cause").distinct()
 
 
@@ -90,14 +95,13 @@ WITH RECURSIVE links AS (
   SELECT 'nesting', CAST(a.node_id AS VARCHAR), CAST(min(c.node_id) AS VARCHAR)
   FROM ast_nodes a JOIN ast_nodes c ON lower(trim(c.node_type)) = 'class' AND c.file_path = a.file_path AND c.name = a.parent_name
   GROUP BY a.node_id
-), walk AS (
-  SELECT tree_kind, child, coalesce(parent, child) AS at, CASE WHEN parent IS NULL THEN 0 ELSE 1 END AS d FROM links
-  UNION ALL
-  SELECT w.tree_kind, w.child, l.parent, w.d + 1 FROM walk w JOIN links l ON l.tree_kind = w.tree_kind AND l.child = w.at
-  WHERE l.parent IS NOT NULL AND w.d < 400
+), tops AS (
+  SELECT tree_kind, child AS top FROM links WHERE parent IS NULL
+  UNION SELECT tree_kind, parent FROM links l WHERE parent IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM links o WHERE o.tree_kind = l.tree_kind AND o.child = l.parent)
 ), ends AS (
-  SELECT w.tree_kind, w.child, w.at, w.d FROM walk w LEFT JOIN links l ON l.tree_kind = w.tree_kind AND l.child = w.at
-  WHERE l.child IS NULL OR l.parent IS NULL
+  SELECT tree_kind, top AS child, top AS at, 0 AS d FROM tops
+  UNION ALL SELECT e.tree_kind, l.child, e.at, e.d + 1 FROM ends e JOIN links l ON l.tree_kind = e.tree_kind AND l.parent = e.child
 )"""
 
 ORACLE = {
@@ -132,4 +136,45 @@ WITH states AS (
   WHERE r.ref <> '' AND r.ref NOT IN (SELECT trim(symbol_id) FROM builtin_symbols)
 )
 SELECT DISTINCT ref_table, ref_key, cause FROM judged WHERE cause IS NOT NULL""",
+    "p7_report": """
+WITH states AS (
+  SELECT trim(symbol_id) AS ref, bool_and(deleted_at IS NOT NULL) AS gone, min(created_at) AS first_at
+  FROM graph_nodes WHERE trim(symbol_id) <> '' GROUP BY 1
+), refs AS (
+  SELECT 'graph_edges' AS ref_table, CAST(id AS VARCHAR) AS ref_key, trim(target_id) AS ref, seen_at AS day FROM graph_edges
+  UNION ALL SELECT 'symbol_index', fqn, trim(graph_node_id), updated_at FROM symbol_index
+), direct AS (
+  SELECT r.ref_table, r.ref_key, r.day,
+    CASE WHEN s.ref IS NULL THEN 'missing' WHEN s.gone THEN 'deleted' WHEN s.first_at > r.day THEN 'late' END AS cause
+  FROM refs r LEFT JOIN states s ON s.ref = r.ref
+  WHERE r.ref <> '' AND r.ref NOT IN (SELECT trim(symbol_id) FROM builtin_symbols)
+), found AS (
+  SELECT ref_table, ref_key, day, 'direct' AS kind, cause, cause AS root_cause FROM direct WHERE cause IS NOT NULL
+), dead AS (
+  SELECT trim(ref_key) AS fqn, min(cause) AS cause FROM found WHERE ref_table = 'symbol_index' GROUP BY 1
+), heirs AS (
+  SELECT 'graph_edges', CAST(e.id AS VARCHAR), e.seen_at, 'inherited', 'orphaned parent', d.cause
+  FROM graph_edges e JOIN dead d ON d.fqn = trim(e.source_id)
+  WHERE CAST(e.id AS VARCHAR) NOT IN (SELECT ref_key FROM found WHERE ref_table = 'graph_edges' AND ref_key IS NOT NULL)
+)
+SELECT ref_table, strftime(day, '%Y-%m') AS month, kind, cause, root_cause, count(DISTINCT ref_key) AS n_refs
+FROM (SELECT * FROM found UNION ALL SELECT * FROM heirs) GROUP BY ALL""",
+    "p4_paths": _FOREST
+    + """
+, keyed AS (
+  SELECT tree_kind || '|' || child AS k, tree_kind || '|' || parent AS p FROM links WHERE parent IS NOT NULL
+  UNION SELECT tree_kind || '|' || child, NULL FROM links WHERE parent IS NULL
+  UNION SELECT tree_kind || '|' || parent, NULL FROM links l WHERE parent IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM links o WHERE o.tree_kind = l.tree_kind AND o.child = l.parent)
+), down AS (
+  SELECT k, k AS root, 0 AS d, k AS full_path FROM keyed WHERE p IS NULL
+  UNION ALL SELECT c.k, w.root, w.d + 1, w.full_path || ' > ' || c.k FROM down w JOIN keyed c ON c.p = w.k
+), above AS (
+  SELECT k, k AS a FROM down UNION ALL SELECT x.k, c.p FROM above x JOIN keyed c ON c.k = x.a WHERE c.p IS NOT NULL
+), sizes AS (
+  SELECT a, count(*) - 1 AS n FROM above GROUP BY a
+)
+SELECT c.k AS "key", coalesce(w.root, '') AS root, CAST(coalesce(w.d, -1) AS INTEGER) AS node_depth, coalesce(w.full_path, '') AS full_path,
+  coalesce(s.n, 0) AS n_descendants, w.k IS NULL AS is_endless
+FROM keyed c LEFT JOIN down w ON w.k = c.k LEFT JOIN sizes s ON s.a = c.k""",
 }
