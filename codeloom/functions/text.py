@@ -7,9 +7,11 @@ import os
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.session import ship_file, shipped
+
 #: Lines longer than this take no part in fuzzy search.
 FUZZY_LINE_CHARS = 2000
 # Characters after which a word begins.
@@ -76,7 +78,7 @@ def _encoding(path: str):
 
         import tiktoken
 
-        with open(path, "rb") as file:
+        with open(shipped(path), "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         _ENCODINGS[path] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -84,6 +86,8 @@ def _encoding(path: str):
 
 
 def bpe_tokens(text: Column, path: str = BPE_FILE) -> Column:
+    ship_file(SparkSession.getActiveSession(), path)
+
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
         encoding = _encoding(path)

@@ -18,15 +18,17 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.01, least: int = 10_000)
     return [row[0] for row in top.select(key).collect()]
 
 
-def join_split_hot(left: DataFrame, right: DataFrame, key: str, how: str = "left", share: float = 0.01, least: int = 10_000) -> DataFrame:
+def join_split_hot(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "left", share: float = 0.01, least: int = 10_000) -> DataFrame:
     """``left.join(right, key, how)`` for how in left, inner, left_semi, left_anti, with ``right`` unique in ``key``.
 
     Rows with a hot key meet a broadcast of at most ``1 / share`` right rows and are not shuffled; all other rows take the
-    ordinary shuffle join. Ties, null keys and repeated left rows behave as in the plain join.
+    ordinary shuffle join. Ties, null keys and repeated left rows behave as in the plain join. Several key columns are told
+    apart by their hash. A key of at most ``least`` rows is never hot: one task joins that many without strain.
     """
-    hot = hot_keys(left, key, share, least)
+    mark = (lambda: F.xxhash64(*key)) if isinstance(key, list) else (lambda: F.col(key))
+    hot = hot_keys(left.select(mark().alias("key")), "key", share, least)
     if not hot:
         return left.join(right, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    few = right.where(F.col(key).isin(hot))
+    is_hot = F.coalesce(mark().isin(hot), F.lit(False))
+    few = right.where(mark().isin(hot))
     return left.where(is_hot).join(F.broadcast(few), key, how).unionByName(left.where(~is_hot).join(right, key, how))

@@ -105,3 +105,20 @@ def ship_package(spark: SparkSession) -> None:
             out.write(path, os.path.join("codeloom", path.relative_to(root)))
     context.addPyFile(archive)
     context._codeloom_shipped = True
+
+
+def ship_file(spark: SparkSession, path: str) -> None:
+    """Send a small file of the driver (a vocabulary) to all workers, once; see ``shipped``."""
+    context = spark.sparkContext
+    sent = getattr(context, "_codeloom_files", set())
+    if path not in sent and os.path.isfile(path):
+        context.addFile(path)
+        context._codeloom_files = sent | {path}
+
+
+def shipped(path: str) -> str:
+    """Where a worker finds that file: its own copy, else the path itself (a folder that all machines mount)."""
+    from pyspark import SparkFiles
+
+    own = SparkFiles.get(os.path.basename(path))
+    return own if os.path.isfile(own) else path
