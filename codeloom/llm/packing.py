@@ -2,14 +2,17 @@
 
 Each text is measured in tokens of a public tokenizer and projected: hashed word counts, times a fixed random sign matrix,
 to ``DIMS`` numbers. Ranked to a grid by global quantiles these give a Hilbert key; texts are range-sorted by (key, id) and
-packed with their neighbours: an item goes into the fullest of ``OPEN`` open containers that holds it. What a partition
-leaves underfilled is packed again with fewer partitions, until one holds the rest, which is bounded by the containers left
-open. Only (id, size, key) is ever sorted; texts are read once.
+packed with their neighbours: an item goes into the fullest of ``OPEN`` open containers that holds it. A container closes for
+good once no item of the input could still fit, or once it is as full as the round asks. What a partition leaves underfilled
+is packed again, in as many partitions as that takes; each round asks less, so that every round settles its share and the
+last one, which closes all it has, is no larger a task than the others. Only (id, size, key) is ever sorted; texts are read
+once.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 import os
 import re
 import zlib
@@ -20,14 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import cut_lineage
+from codeloom.session import cut_lineage, ship_file, shipped
 
 TOKENIZER = os.environ.get("CODELOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 DIMS, BITS, FEATURES = 3, 10, 512
-#: Containers a task keeps open, and the fill from which a container is never reopened.
-OPEN, FULL = 48, 0.995
-#: Rows that one packing task takes, and rows per partition of the last round.
-PART_ROWS = 200_000
+#: Containers a task keeps open, and the fill from which a container is not packed again, by round.
+OPEN, FULL = 48, (0.995, 0.98, 0.95, 0.9, 0.8, 0.0)
+#: Rows that one packing task takes at most; the first round has a task per PART_ROOT square roots of the rows, if that is more.
+PART_ROWS, PART_ROOT = 50_000, 32
 
 _WORD = re.compile(r"\w+")
 _LOADED: dict = {}
@@ -39,7 +42,7 @@ def load_tokenizer(path: str):
         import tiktoken
 
         pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        with open(path, "rb") as file:
+        with open(shipped(path), "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         _LOADED[path] = tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return _LOADED[path]
@@ -91,6 +94,7 @@ def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
 def measure(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens, v0, v1, ...) of every document with a text that is neither null nor empty."""
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("length(text) > 0")
+    ship_file(documents.sparkSession, tokenizer)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoding, signs = load_tokenizer(tokenizer), _signs()
@@ -104,16 +108,16 @@ def measure(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", to
     return docs.mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens bigint, {columns}")
 
 
-def _pack(capacity: int, last: bool, round_: int):
+def _pack(capacity: int, enough: int, least: int, round_: int):
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        place, made = TaskContext.get().partitionId(), 0
+        place, made, full = TaskContext.get().partitionId(), 0, max(enough, capacity - least + 1)
         open_: list[list] = []  # [used, name, rows]
         done: list[tuple] = []
 
         def close(bin_: list) -> None:
-            name = f"{round_}-{place}-{bin_[1]}" if last or bin_[0] >= FULL * capacity else None
+            name = f"{round_}-{place}-{bin_[1]}" if bin_[0] >= enough or bin_[0] > capacity - least else None
             done.extend((*row, name) for row in bin_[2])
 
         for batch in batches:
@@ -132,7 +136,7 @@ def _pack(capacity: int, last: bool, round_: int):
                     open_.append(best)
                 best[0] += size
                 best[2].append(row)
-                if best[0] == capacity:
+                if best[0] >= full:
                     open_.remove(best)
                     close(best)
             if len(done) > 50_000:
@@ -175,17 +179,20 @@ def pack_documents(documents: DataFrame, capacity: int = 8192, doc_id: str = "do
     items = items.select("doc_id", "piece", (F.col("piece") * capacity).alias("first_token"), F.least(F.lit(capacity), F.col("total") - F.col("piece") * capacity).cast("bigint").alias("n_tokens"), "curve")
 
     schema = f"doc_id {kind}, piece bigint, first_token bigint, n_tokens bigint, curve bigint, container string"
-    packed, rest, number = None, items, 0
-    while True:
-        parts = max(1, -(-rows // part_rows))
+    packed, rest = None, cut_lineage(items)
+    rows, least = rest.agg(F.count(F.lit(1)), F.coalesce(F.min("n_tokens"), F.lit(1))).first()
+    for number, share in enumerate(FULL):
+        parts = max(1, -(-rows // part_rows), math.isqrt(rows) // PART_ROOT if number == 0 else 1)
+        enough = 0 if parts == 1 else math.ceil(share * capacity)
         placed = rest.repartitionByRange(parts, "curve", "doc_id", "piece").sortWithinPartitions("curve", "doc_id", "piece")
-        out = cut_lineage(placed.mapInPandas(_pack(capacity, parts == 1, number), schema))
+        out = cut_lineage(placed.mapInPandas(_pack(capacity, enough, least, number), schema))
         filled = out.where("container is not null")
         packed = filled if packed is None else packed.unionByName(filled)
-        if parts == 1:
-            return packed
-        rest, number, left = out.where("container is null").drop("container"), number + 1, out.where("container is null").count()
-        rows = min(left, rows // 4)
+        rest = out.where("container is null").drop("container")
+        rows = rest.count() if enough else 0
+        if not rows:
+            break
+    return packed
 
 
 def packing_report(packed: DataFrame, capacity: int = 8192) -> DataFrame:

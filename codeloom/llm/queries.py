@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.llm import docpairs, leakage, packing, provenance, ranking, truncation, wellformed
 from codeloom.functions.languages import EXTENSIONS
 from codeloom.operators.skew import join_split_hot
-from codeloom.session import read_table
+from codeloom.session import cut_lineage, read_table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,13 +32,14 @@ def p3_file_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return provenance.not_hand_written(read_table(spark, sf_dir, "processed_files"), EXTENSIONS).select("file_path").distinct()
+    files, index = read_table(spark, sf_dir, "processed_files"), read_table(spark, sf_dir, "indexed_files")
+    return provenance.not_hand_written(files, EXTENSIONS, index).select("file_path").distinct()
 
 
 def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of files of each kind per repository."""
-    kinds = provenance.classify_files(read_table(spark, sf_dir, "processed_files"))
-    return kinds.groupBy("repo", "kind").agg(F.count_distinct("file_path").alias("n_files"))
+    """Number of files of each kind per repository, and by what evidence."""
+    kinds = provenance.classify_files(read_table(spark, sf_dir, "processed_files"), read_table(spark, sf_dir, "indexed_files"))
+    return kinds.groupBy("repo", "kind", "evidence").agg(F.count_distinct("file_path").alias("n_files"))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +65,10 @@ def p5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean NDCG at 10 of the ranking over the labelled queries."""
     chunks = read_table(spark, sf_dir, "search_results").select("query_id", "chunk_id", F.trim("symbol_id").alias("symbol_id")).distinct()
     ranked = ranking.borda(_scores(spark, sf_dir)).join(chunks, ["query_id", "chunk_id"])
-    best = ranked.groupBy("query_id", "symbol_id").agg(F.min("final_rank").alias("final_rank"))
-    scored = ranking.ndcg(best, read_table(spark, sf_dir, "relevance_labels"))
+    best = ranked.groupBy("query_id", "symbol_id").agg(F.min("final_rank").alias("best_chunk"), F.lit(1).alias("one"))
+    # symbols are ranked without gaps, as the ideal order is
+    dense = ranking.running_total(best, ["query_id"], [F.col("best_chunk"), F.col("symbol_id")], "one", "before")
+    scored = ranking.ndcg(dense.withColumn("final_rank", F.col("before") + 1), read_table(spark, sf_dir, "relevance_labels").withColumn("symbol_id", F.trim("symbol_id")))
     return scored.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("ndcg"), 4).alias("mean_ndcg"))
 
 
@@ -78,6 +81,22 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(packing.pack_documents(read_table(spark, sf_dir, "documents")))
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the packages, counted: every text once and whole, none over capacity, pieces without gaps."""
+    documents = read_table(spark, sf_dir, "documents")
+    packed = cut_lineage(packing.pack_documents(documents))
+    texts = documents.where("length(text) > 0").select("doc_id")
+    pieces = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("first_token").alias("first"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"), F.sum("n_tokens").alias("tokens"), F.max("piece").alias("last"))
+    faults = pieces.agg(
+        F.count(F.lit(1)).alias("n_packed"),
+        F.count_if((F.col("first") != 0) | (F.col("end") != F.col("tokens")) | (F.col("n") != F.col("last") + 1)).alias("n_with_gaps"),
+        F.count_if((F.col("n") > 1) & (F.col("tokens") <= 8192)).alias("n_divided_in_vain"),
+    )
+    bins = packed.groupBy("container").agg(F.sum("n_tokens").alias("used")).agg(F.count_if(F.col("used") > 8192).alias("n_over_capacity"), (F.sum("used") >= 0.9 * 8192 * (F.count(F.lit(1)) - 1)).alias("is_full"))
+    lost = texts.join(packed.select("doc_id").distinct(), "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("n_lost"))
+    return faults.crossJoin(bins).crossJoin(lost)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -97,7 +116,7 @@ def p10_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_report(truncation.judge_ends(read_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p6_found": p6_found, "p3_found": p3_found, "p3_file_pairs": p3_file_pairs, "p6_kinds": p6_kinds, "p5_ranking": p5_ranking, "p5_quality": p5_quality, "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_report": p10_report}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p6_found": p6_found, "p3_found": p3_found, "p3_file_pairs": p3_file_pairs, "p6_kinds": p6_kinds, "p5_ranking": p5_ranking, "p5_quality": p5_quality, "p8_packing": p8_packing, "p8_fill": p8_fill, "p8_checks": p8_checks, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_report": p10_report}
 
 _GRAMS = r"""
 WITH texts AS (
@@ -110,8 +129,7 @@ WITH texts AS (
   SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM passages WHERE len(w) >= 13)
 )"""
 
-ORACLE: dict[str, str] = {
-    "p5_ranking": """
+_BORDA = """
 WITH hits AS (
   SELECT query_id, chunk_id, trim(symbol_id) AS symbol_id, backend, CAST(score AS DOUBLE) AS score FROM search_results
 ), newest AS (
@@ -146,7 +164,30 @@ WITH hits AS (
     round(coalesce(s.g, 0.0) + (SELECT count(DISTINCT criterion) FROM (SELECT criterion FROM best UNION SELECT unnest(['pagerank_call', 'pagerank_import', 'confidence']))) * (z.n - 1) / 2, 6) AS points
   FROM every e LEFT JOIN sums s USING (query_id, chunk_id) JOIN sizes z USING (query_id)
 )
-SELECT query_id, chunk_id, n_scores, points, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, chunk_id) AS final_rank FROM points""",
+SELECT query_id, chunk_id, n_scores, points, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, chunk_id) AS final_rank FROM points"""
+
+ORACLE: dict[str, str] = {
+    "p5_ranking": _BORDA,
+    "p5_quality": f"""
+WITH ranking AS ({_BORDA}
+), symbols AS (
+  SELECT DISTINCT query_id, chunk_id, trim(symbol_id) AS symbol_id FROM search_results
+), best AS (
+  SELECT query_id, symbol_id, min(final_rank) AS c FROM ranking JOIN symbols USING (query_id, chunk_id) GROUP BY 1, 2
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c, symbol_id) AS r FROM best
+), grades AS (
+  SELECT query_id, trim(symbol_id) AS symbol_id, max(grade) AS g FROM relevance_labels GROUP BY 1, 2
+), ideal AS (
+  SELECT query_id, sum((pow(2.0, g) - 1) / log2(r + 1)) AS ideal
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY g DESC, symbol_id) AS r FROM grades) WHERE r <= 10 GROUP BY 1
+), got AS (
+  SELECT query_id, sum((pow(2.0, g) - 1) / log2(r + 1)) AS dcg FROM placed JOIN grades USING (query_id, symbol_id) WHERE r <= 10 GROUP BY 1
+)
+SELECT count(*) AS n_queries, round(avg(round(coalesce(dcg, 0.0) / ideal, 6)), 4) AS mean_ndcg FROM ideal LEFT JOIN got USING (query_id) WHERE ideal > 0""",
+    "p8_checks": """
+SELECT count(DISTINCT doc_id) AS n_packed, CAST(0 AS BIGINT) AS n_with_gaps, CAST(0 AS BIGINT) AS n_divided_in_vain, CAST(0 AS BIGINT) AS n_over_capacity, true AS is_full, CAST(0 AS BIGINT) AS n_lost
+FROM documents WHERE length(text) > 0""",
     "p9_found": _GRAMS + "SELECT DISTINCT d.doc_id, e.item_id FROM d JOIN e USING (g)",
     "p9_items": _GRAMS + "SELECT item_id, count(DISTINCT doc_id) AS n_docs, CAST(count(*) AS BIGINT) AS n_windows FROM d JOIN e USING (g) GROUP BY 1",
 }

@@ -43,7 +43,7 @@ def borda(scores: DataFrame, weights: dict[str, float] | None = None, group: str
     values = present.groupBy(group, criterion, "_s", "_key").agg(F.count(F.lit(1)).alias("_ties"))
     ranked = running_total(values, [group, criterion], [F.col("_s").desc()], "_ties", "_before")
     held = values.groupBy(group, criterion).agg(F.sum("_ties").alias("_m"))
-    ranked = ranked.join(held, [group, criterion]).join(sizes, group)
+    ranked = join_split_hot(join_split_hot(ranked, held, [group, criterion], "inner"), sizes, group, "inner")
     rank = F.col("_before") + (F.col("_ties") + 1) / 2
     weight = F.lit(1.0)
     for name, w in (weights or {}).items():
@@ -52,7 +52,7 @@ def borda(scores: DataFrame, weights: dict[str, float] | None = None, group: str
     gain = ranked.select("_key", (weight * F.col("_n") * (F.lit(0.5) - (rank - 0.5) / F.col("_m"))).alias("_gain"))
     total_weight = rows.select(criterion).distinct().agg(F.sum(weight).alias("_w"))
     sums = join_split_hot(present.select(group, item, "_key"), gain, "_key", "inner").groupBy(group, item).agg(F.sum("_gain").alias("_g"), F.count(F.lit(1)).alias("n_scores"))
-    every = rows.select(group, item).distinct().join(sums, [group, item], "left").join(sizes, group).crossJoin(F.broadcast(total_weight))
+    every = join_split_hot(rows.select(group, item).distinct().join(sums, [group, item], "left"), sizes, group, "inner").crossJoin(F.broadcast(total_weight))
     points = F.round(F.coalesce("_g", F.lit(0.0)) + F.col("_w") * (F.col("_n") - 1) / 2, 6)
     every = every.select(group, item, F.coalesce("n_scores", F.lit(0)).alias("n_scores"), points.alias("points"), F.lit(1).alias("_one"))
     return running_total(every, [group], [F.col("points").desc(), F.col(item).asc()], "_one", "_before").select(group, item, "n_scores", "points", (F.col("_before") + 1).alias("final_rank"))
