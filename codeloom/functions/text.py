@@ -257,8 +257,26 @@ def indentation(line: Column) -> Column:
     return F.length(line) - F.length(F.regexp_replace(line, r"^\s+", ""))
 
 
-# Beginnings of lines before which a text may be split.
-STATEMENT_STARTS = r"^\s*(?:(?:def|class|if|elif|for|while|with)\s+|(?:else|try|finally)\s*:|except|(?:return|yield|raise)\s|@)"
+# Beginnings of lines before which a text may be split, one pattern each.
+STATEMENTS = [
+    r"def\s+",
+    r"class\s+",
+    r"if\s+",
+    r"elif\s+",
+    r"else\s*:",
+    r"for\s+",
+    r"while\s+",
+    r"try\s*:",
+    r"except",
+    r"finally\s*:",
+    r"with\s+",
+    r"return\s",
+    r"yield\s",
+    r"raise\s",
+    r"@",
+]
+#: One expression for a column test.
+STATEMENT_STARTS = r"^\s*(?:" + "|".join(STATEMENTS) + ")"
 
 
 def starts_statement(line: Column) -> Column:
@@ -268,11 +286,14 @@ def starts_statement(line: Column) -> Column:
 # ------------------------------------------------------------------ fuzzy match
 
 
-def _begins_word(text: str, i: int) -> bool:
-    if i == 0:
-        return True
-    before, here = text[i - 1], text[i]
-    return before in SEPARATORS or before.islower() and here.isupper() or before.isdigit() and here.isalpha()
+_CASES = str.maketrans({c: " " for c in SEPARATORS})
+
+
+def word_starts(line: str) -> list[bool]:
+    """For each character whether a word begins there: first of the line, after a separator, a capital after a small letter, a
+    letter after a digit."""
+    kinds = "".join("s" if c == " " else "u" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "a" if c.isalpha() else "o" for c in line.translate(_CASES))
+    return [True, *(a == "s" or a + b in ("lu", "du", "dl", "da") for a, b in zip(kinds, kinds[1:], strict=False))] if line else []
 
 
 def fuzzy_value(pattern: str, text: str, shown: str) -> float:
@@ -286,11 +307,12 @@ def fuzzy_value(pattern: str, text: str, shown: str) -> float:
     if n < 2:
         return 1.0 if n and pattern in text else 0.0
     total, at, last = float(n), -1, -1
+    starts = word_starts(shown)
     for k, c in enumerate(pattern):
         at = text.find(c, last + 1)
         if at < 0:
             return 0.0
-        begins = _begins_word(shown, at)
+        begins = starts[at]
         if k == 0:
             total += 2.0 * (at == 0) + 2.0 * begins - 0.01 * at
         else:

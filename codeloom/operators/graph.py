@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.operators.skew import join_split_hot
-from codeloom.session import cut_lineage
+from codeloom.operators.skew import hot_keys, join_split_hot
+from codeloom.session import cut_lineage, settings
+
+#: Edges of a graph per task of an iteration; small graphs run in few tasks.
+EDGES_A_TASK = 100_000
 
 
 def clean_edges(edges: DataFrame, edge_type: str | None = None, include_inferred: bool = True) -> DataFrame:
@@ -31,7 +34,7 @@ def reach(edges: DataFrame, start: str | list[str], depth: int, backward: bool =
     seen = spark.createDataFrame([(n,) for n in names], "symbol_id string").select("symbol_id", F.lit(0).alias("distance"))
     frontier = seen
     for step in range(1, depth + 1):
-        ahead = links.join(frontier.select("symbol_id"), "symbol_id", "left_semi").select(F.col("next").alias("symbol_id")).distinct()
+        ahead = join_split_hot(links, frontier.select("symbol_id"), "symbol_id", "left_semi").select(F.col("next").alias("symbol_id")).distinct()
         frontier = cut_lineage(ahead.join(seen, "symbol_id", "left_anti").select("symbol_id", F.lit(step).alias("distance")))
         if frontier.isEmpty():
             break
@@ -52,39 +55,62 @@ def induced_edges(edges: DataFrame, start: str, depth: int, direction: str = "ca
     return clean.join(inside.withColumnRenamed("symbol_id", "source_id"), "source_id", "left_semi").join(inside.withColumnRenamed("symbol_id", "target_id"), "target_id", "left_semi")
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 50, tolerance: float = 1e-6, checkpoint_every: int = 5) -> DataFrame:
+def _mix(column: str, factors: list[float]):
+    """Sum of the first values of an array column, each times its factor."""
+    listed = ", ".join(f"{x!r}D" for x in factors)
+    return F.expr(f"aggregate(zip_with(slice({column}, 1, {len(factors)}), array({listed}), (x, m) -> x * m), 0D, (s, x) -> s + x)")
+
+
+def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 50, tolerance: float = 1e-6, test_every: int = 10) -> DataFrame:
     """(symbol_id, score) over the ends of the edges; parallel edges count once, the mass of symbols without successors is
-    spread over all, iteration ends when the scores change by less than ``tolerance`` in sum.
+    spread over all, iteration ends with the first round whose scores change by less than ``tolerance`` in sum.
 
-    Shares are combined on the map side, so a symbol that a third of all edges name is one row per task. Lineage is cut every
-    few iterations in the shared folder, where the convergence test is made too. No edges give no rows.
+    The scores after k rounds are a combination of the powers u_j = (damping * links) ** j applied to the uniform vector, whose
+    factors depend on the lost mass of each u_j only. So a round moves one vector along the links, which costs one shuffle
+    of map-side combined sums and a checkpoint: links and vectors stay partitioned by symbol and sorted. The few numbers that
+    mix the powers, and the test for convergence, are summed up once in ``test_every`` rounds. A source of very many links (``hot_keys``) is not kept
+    in one task: its links stay spread and meet a broadcast of the hot sources, at most 100 rows. No edges give no rows.
     """
-    links = edges.select(F.trim("source_id").alias("src"), F.trim("target_id").alias("dst")).where("src != '' and dst != ''").distinct()
-    links = cut_lineage(links)
+    spark = edges.sparkSession
+    links = cut_lineage(edges.select(F.trim("source_id").alias("src"), F.trim("target_id").alias("dst")).where("src != '' and dst != ''").distinct())
     names = links.select(F.col("src").alias("symbol_id")).unionByName(links.select(F.col("dst").alias("symbol_id"))).distinct()
     degrees = links.groupBy(F.col("src").alias("symbol_id")).agg(F.count(F.lit(1)).alias("degree"))
-    vertices = cut_lineage(names.join(degrees, "symbol_id", "left"))
-    n = vertices.count()
-    if n == 0:
-        return vertices.select("symbol_id", F.lit(0.0).alias("score"))
-    routes = cut_lineage(links.join(degrees.withColumnRenamed("symbol_id", "src"), "src").select("src", "dst", "degree"))
-    ranks = vertices.select("symbol_id", "degree", F.lit(1.0 / n).alias("score"))
-    before = ranks
-    for i in range(1, iterations + 1):
-        gained = routes.join(ranks.select(F.col("symbol_id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("symbol_id")).agg(F.sum(F.col("score") / F.col("degree")).alias("gain"))
-        lost = ranks.where("degree is null").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
-        joined = vertices.join(gained, "symbol_id", "left").crossJoin(F.broadcast(lost))
-        score = F.lit((1 - damping) / n) + damping * (F.coalesce("gain", F.lit(0.0)) + F.col("lost") / n)
-        ranks = joined.select("symbol_id", "degree", score.alias("score"))
-        if i % checkpoint_every == 0 or i == iterations:
-            ranks = cut_lineage(ranks)
+    size = links.count()
+    if size == 0:
+        return names.select("symbol_id", F.lit(0.0).alias("score"))
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // EDGES_A_TASK)))
+    with settings(spark, {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.enabled": "false"}):
+        hot = hot_keys(links, "src")
+        is_hot = F.col("src").isin(hot) if hot else F.lit(False)
+        cold = cut_lineage(links.where(~is_hot).repartition(parts, "src").sortWithinPartitions("src"))
+        state = names.join(degrees, "symbol_id", "left").repartition(parts, "symbol_id").sortWithinPartitions("symbol_id")
+        state = cut_lineage(state)
+        n = state.count()
+        state = state.select("symbol_id", "degree", F.array(F.lit(1.0 / n)).alias("powers"), F.lit(1.0 / n).alias("last"))
+        factors, mixed, lost = [1.0], [[1.0]], []  # scores after k rounds = sum of mixed[k][j] * u_j
+        for i in range(1, iterations + 1):
+            share = state.where("degree > 0").selectExpr("symbol_id AS src", f"{damping!r}D * last / degree AS share")
+            moved = cold.join(share, "src")
+            if hot:
+                moved = moved.unionByName(links.where(is_hot).join(F.broadcast(cut_lineage(share.where(is_hot).select("src", "share"))), "src"))
+            gained = moved.groupBy(F.col("dst").alias("symbol_id")).agg(F.sum("share").alias("gain"))
+            state = cut_lineage(state.join(gained, "symbol_id", "left").selectExpr("symbol_id", "degree", "concat(powers, array(coalesce(gain, 0D))) AS powers", "coalesce(gain, 0D) AS last"))
+            if i % test_every and i != iterations:
+                continue
+            fresh = range(len(lost), i)
+            sums = state.where("degree is null").agg(*[F.coalesce(F.sum(F.col("powers")[j]), F.lit(0.0)).alias(f"d{j}") for j in fresh]).first()
+            lost += list(sums)
+            for k in fresh:  # p(k + 1) = factor * u_0 + (links * p(k)), the latter being p(k) with every power one higher
+                factors.append((1 - damping) + damping * sum(m * x for m, x in zip(mixed[k], lost, strict=False)))
+                mixed.append([factors[-1], *mixed[k]])
             if tolerance > 0:
-                # change since the last cut: zero change over several rounds implies convergence in each
-                moved = ranks.join(before.select("symbol_id", F.col("score").alias("old")), "symbol_id").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
-                if moved < tolerance:
+                moves = [[b - a for a, b in zip([*mixed[k], 0.0], mixed[k + 1], strict=True)] for k in fresh]
+                steps = state.agg(*[F.sum(F.abs(_mix("powers", move))).alias(f"s{k}") for k, move in zip(fresh, moves, strict=True)]).first()
+                done = next((k + 1 for k, step in zip(fresh, steps, strict=True) if step < tolerance), None)
+                if done:
+                    i = done
                     break
-            before = ranks
-    return ranks.select("symbol_id", "score")
+    return state.select("symbol_id", _mix("powers", mixed[i]).alias("score"))
 
 
 #: A remaining graph of at most so many edges is levelled, or searched for cycles, in one task (about 300 bytes an edge).
