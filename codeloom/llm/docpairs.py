@@ -31,6 +31,7 @@ _SIGNATURES = {
         r"|(?:@\w+[ \t]+)*(?:[\w$<>\[\],.?&*:~]+[ \t]+)*?[*&]*(?P<method>~?#?[\w$]+)[ \t]*\((?=[^;]*$|[^;]*\{))"
     ),
 }
+_ROUND = re.compile(r"[()]")
 _PY_STRING = re.compile(r"[ \t]*[rRbBuUfF]{0,2}(\"\"\"|'''|\"|')")
 
 
@@ -123,6 +124,16 @@ def _body_end(lines: list[str], first: int, family: str) -> int:
     return len(lines) - 1
 
 
+def _closing(text: str, at: int) -> int:
+    """Index of the parenthesis that closes the one at ``at``, however many lines below; the last index without one."""
+    depth = 0
+    for m in _ROUND.finditer(text, at):
+        depth += 1 if m.group() == "(" else -1
+        if depth == 0:
+            return m.start()
+    return len(text) - 1
+
+
 def _opening_string(lines: list[str], blank: list[str], first: int, last: int) -> str:
     """The string that is the first statement below a Python signature."""
     depth, at = 0, first
@@ -156,6 +167,7 @@ def functions_in(text: str, family: str, first_only: bool = False) -> Iterator[t
     """(name, first line, last line, documentation, signature) of every function or method, lines 1-based."""
     blanked, comments = blank_out(text, family)
     lines, blank = text.split("\n"), blanked.split("\n")
+    starts = [0, *(m.end() for m in re.finditer("\n", blanked))]
     ends = {b: a for a, b in comments}
     whole = {k for a, b in comments for k in range(a, b + 1) if not blank[k - 1].strip()}
     signature = _SIGNATURES[family]
@@ -168,14 +180,8 @@ def functions_in(text: str, family: str, first_only: bool = False) -> Iterator[t
         if not name or name in _NOT_NAMES or groups.get("method") and re.match(r"\s*(?:return|throw|else|new|await|case|go|defer|delete)\b", line):
             continue
         if groups.get("method") and not groups.get("name"):
-            tail = "".join(blank[at : at + 12])[found.end() - 1 :]
-            depth = 0
-            for k, c in enumerate(tail):
-                depth += (c == "(") - (c == ")")
-                if depth == 0:
-                    tail = tail[k + 1 :]
-                    break
-            if not re.match(r"[^;={}()]*\{|[^;={}()]*(?:\([^()]*\)[^;={}()]*)*\{", tail):
+            close = _closing(blanked, starts[at] + found.end() - 1)
+            if not re.compile(r"[^;={}()]*(?:\([^()]*\)[^;={}()]*)*\{").match(blanked, close + 1):
                 continue
         last = _body_end(blank, at, family)
         above = at  # 0-based line above is at - 1, whose 1-based number is ``above``
@@ -190,7 +196,9 @@ def functions_in(text: str, family: str, first_only: bool = False) -> Iterator[t
         if family == "indent":
             inner = _opening_string(lines, blank, at, last)
             doc = inner if not strip_marks(doc) else doc + "\n" + inner if inner else doc
-        yield name, at + 1, last + 1, doc, "\n".join(blank[at : min(last + 1, at + 6)])
+        head = blanked.find("(", starts[at])
+        end = starts[last] + len(blank[last])
+        yield name, at + 1, last + 1, doc, blanked[starts[at] : _closing(blanked, head) + 1 if 0 <= head < end else end]
         if first_only:
             return
 
@@ -209,12 +217,18 @@ def strip_marks(doc: str) -> str:
     return "\n".join(out)
 
 
-# Words that carry nothing by themselves, in documentation of a function.
-_EMPTY_WORDS = frozenset(
-    "a an the this that these those it its of to for in on by with and or from as at is are be will would shall should can may do does function functions method methods func fn def procedure routine helper constructor class object call calls called "
-    "der die das ein eine einen dem den des le la les un une el los las una de du von der diese dieser cette ce esta este funktion methode fonction función método implementation implements handle handles simply just here name named using use used value values param parameter parameters args arguments returns return result description doc docs docstring documentation comment".split()
-)
-_TYPES = frozenset("int integer float double str string bool boolean bytes byte list dict map set tuple array object none null void any char long short number undefined self cls optional true false size_t node error uint int32 int64 float64 float32 const unsigned static vector".split())
+# Words that carry nothing by themselves in the documentation of a function, by language.
+_EMPTY_BY_LANGUAGE = {
+    "en": "a an the this that these those it its of to for in on by with and or from as at is are be will would shall should can may do does something anything thing things function functions method methods func fn def procedure routine helper constructor class object call calls called implementation implements handle handles simply just here name named using use used value values param parameter parameters args arguments returns return result description doc docs docstring documentation comment",
+    "de": "der die das ein eine einen dem den des von zu und oder ist sind wird diese dieser dieses etwas macht tut funktion methode klasse",
+    "fr": "le la les un une des du de et ou est sont qui que cette ce cet fait quelque chose fonction méthode classe",
+    "es": "el la los las un una unos de del y o es son que esta este esto hace algo función método clase",
+    "it": "il lo la gli le un una di del della e o è sono che questa questo fa qualcosa funzione metodo classe",
+    "nl": "de het een van en of is zijn wordt dit dat deze die iets doet functie methode klasse",
+    "pt": "o a os as um uma de do da e ou é são que esta este isto faz algo função método classe",
+}
+_EMPTY_WORDS = frozenset(w for words in _EMPTY_BY_LANGUAGE.values() for w in words.split())
+_TYPES = frozenset("int integer float double str string bool boolean bytes byte list dict map set tuple array object none null undefined void any char long short number self cls optional true false size_t node error uint int32 int64 float64 float32 const unsigned static vector".split())
 _PLACEHOLDER = re.compile(
     r"^\W*(?:todo|fixme|xxx|tbd|tba|hack|wip|lorem|placeholder|n/?a|none|doc|docs|docstring|description|comment|missing docs?|undocumented|no (?:docs?|documentation|description)|add (?:a )?(?:description|docs?|documentation|comment)|(?:description|documentation|docs?) (?:goes|go|here|to follow|pending|missing)|"
     r"(?:write|document|describe|fill) (?:me|this|in)|to be (?:done|written|documented|added)|coming soon|insert .* here|\.{2,}|\?+|-+)\b",
@@ -229,6 +243,8 @@ _DIRECTIVE = re.compile(
 _CODE = re.compile(
     r"^(?:return\b(?:\s+[\w.\[\]()'\"]+)?;?$|[\w.\[\]]+\s*(?:[-+*/|&]|:)?=\s*\S.*|(?:[\w.]+)\(.*\)\s*[;{]?$|(?:if|for|while|switch)\s*\(.*|(?:if|for|while|with|elif|try|else|except)\b.*:$|(?:import|from|package|using|include)\s+[\w.{}\"<>/]+;?$|[{}()\[\];]+|(?:var|let|const|int|long|double|float|char|bool|auto)\s+\w+\s*(?:=.*)?;|.*;$|(?:await|throw|raise|yield|del|break|continue|pass)\b(?:\s+[\w.()]+)?;?$)"
 )
+# A sentence of one word that is a term of its own, such as a property of the function.
+_ONE_WORD = re.compile(r"[^\W\d_]{8,}\.")
 _TAG = re.compile(r"^[@\\:](?P<tag>\w+)\s*(?P<rest>.*)$")
 _FIELD = re.compile(r"^(?P<name>\*{0,2}[\w$]+)\s*(?:\([^)]*\)|\[[^\]]*\])?\s*(?::|--?|–|—)\s*(?P<rest>.*)$")
 _HEADER = re.compile(r"^(?:args?|arguments?|param(?:eter)?s?|returns?|yields?|raises?|throws?|notes?|examples?|attributes?|keyword args?|other parameters|see also)\s*:?$", re.I)
@@ -289,7 +305,7 @@ def says_something(doc: str | None, name: str, signature: str = "") -> bool:
                 return True
             continue
         field = _FIELD.match(line)
-        if field and (section[:3] in ("arg", "par", "key", "oth", "att") or re.search(rf"\b{re.escape(field['name'].lstrip('*'))}\b", signature.split("\n")[0] if "(" in signature else "")):
+        if field and (section[:3] in ("arg", "par", "key", "oth", "att") or re.search(rf"\b{re.escape(field['name'].lstrip('*'))}\b", signature if "(" in signature else "")):
             own = names | set(_pieces(field["name"]))
             rest = field["rest"]
             if not _PLACEHOLDER.search(rest) and len(_pieces(rest)) >= 2 and _new_words(rest, own) >= 1:
@@ -302,27 +318,30 @@ def says_something(doc: str | None, name: str, signature: str = "") -> bool:
         for sentence in re.split(r"(?<=[.!?])\s+", line):
             if _PLACEHOLDER.search(sentence) or _ELSEWHERE.search(sentence) or _CODE.match(sentence):
                 continue
-            if _new_words(sentence, names) >= 2:
+            if _new_words(sentence, names) >= 2 or _ONE_WORD.fullmatch(sentence) and _new_words(sentence, names) == 1:
                 return True
     return False
 
 
-def documentation_of(name: str, content: str, docstring: str | None, language: str | None) -> tuple[str, str]:
-    """(documentation, signature) of one node: the docstring, or, if it is blank, what its content carries."""
+def documentation_of(name: str, content: str, docstring: str | None, language: str | None) -> tuple[str, str, str]:
+    """(documentation, signature, code) of one node: the docstring, or, if it is blank, what its content carries; the code is
+    the delimited function, or the whole content where no signature is found."""
     family = family_of(language, content)
     found = next(functions_in(content, family, first_only=True), None)
     if found is None and family == "brace":
         found = next(functions_in(content, "indent", first_only=True), None)
     signature = found[4] if found else ""
+    code = "\n".join(content.split("\n")[found[1] - 1 : found[2]]) if found else content
     if docstring and strip_marks(docstring):
-        return docstring, signature
-    return (found[3] if found else ""), signature
+        return docstring, signature, code
+    return (found[3] if found else ""), signature, code
 
 
 def pair_nodes(nodes: DataFrame) -> DataFrame:
     """(node_id, code, documentation) of every function or method node whose documentation says something.
 
-    ``nodes`` has node_id, node_type (any letter case), name, content, docstring and language. Null content or name counts as
+    ``nodes`` has node_id, node_type (any letter case), name, content, docstring and language. The code is the function from
+    its signature to the end of its body, so comments above it are in the documentation only. Null content or name counts as
     empty; null node ids are left out; repeated rows are kept as often as they occur. Extra columns are ignored.
     """
     chosen = nodes.where(F.lower(F.trim("node_type")).isin("function", "method") & F.col("node_id").isNotNull())
@@ -333,9 +352,9 @@ def pair_nodes(nodes: DataFrame) -> DataFrame:
             out = []
             for node, name, content, docstring, language in batch.itertuples(index=False, name=None):
                 name, content, docstring, language = (x if isinstance(x, str) else "" for x in (name, content, docstring, language))
-                doc, signature = documentation_of(name, content, docstring, language)
+                doc, signature, code = documentation_of(name, content, docstring, language)
                 if says_something(doc, name, signature):
-                    out.append((node, content, strip_marks(doc)))
+                    out.append((node, code, strip_marks(doc)))
             yield pd.DataFrame(out, columns=["node_id", "code", "documentation"])
 
     return chosen.mapInPandas(run, f"node_id {dict(chosen.dtypes)['node_id']}, code string, documentation string")

@@ -1,12 +1,18 @@
-"""Text cut off by field limits: corpus vocabulary trie, end-of-text structure and length evidence.
-
-Reading the whole texts gives two things. *Facts* are counts over all distinct texts, so that copies of one text do not vouch
-for how it ends: words (without each text's last
-token), words that end a list item inside a text, shapes of tokens before a full stop inside a text, and closing lines with
-one or two words masked. *Tails* describe how each text ends. A text is judged from its tail alone where that suffices (open
-code block, trace of a cut, unfinished table row, sentence mark); otherwise the tail's keys look up the facts: the closing
-line must be one that many texts share, and the last token must be no unknown proper prefix of known words. The trie is a
-distributed table of prefixes, joined to the last tokens; it is never collected or broadcast.
+"""Text cut off by field limits: corpus vocabulary trie, length evidence, end-of-text structure.
+
+Every distinct text is read once, whole, which gives two things. *Facts* are counts over all distinct texts, so that copies of
+one text do not vouch for how it ends: words (without each text's last token), words that end a list item inside a text,
+lengths of such items, shapes of tokens before a full stop inside a text, and closing lines with one or two words masked.
+*Tails* describe how each text ends. The verdict on a text:
+
+* cut, if its last token is an unknown proper prefix of known words (trie), unless a sentence mark follows it;
+* cut, if it stops where its source's field limit is, at no end that whole texts have (length);
+* cut, if what it has begun is open: a code block, a table row, a list item unlike others, a line that is neither a sentence
+  nor a closing line that many texts share nor a sign-off (structure);
+* whole otherwise.
+
+The trie is a distributed table of words under their prefixes of up to ``TRIE_CHARS`` characters, joined to the last tokens
+and compared in full; it is never collected or broadcast.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +35,13 @@ LEAST_CHARS = 10
 CLOSER_SHARE, CLOSER_LEAST = 0.001, 3
 #: Share of all full stops inside texts that must follow a token shape for it to be one.
 SHAPE_SHARE = 0.0002
-#: Share of the unpunctuated list items inside texts that must have as many words as an item for it to be of usual length.
+#: Share of the unpunctuated list items inside texts that must have as many words as an item for it to be of usual length,
+#: beside at least as many without a mark at their end as with one.
 ITEM_SHARE = 0.005
-#: A word is known from this many occurrences on; longer ones than WORD_CHARS are no words.
-KNOWN, WORD_CHARS = 3, 40
-#: A token's shape is that of its last characters.
-SHAPE_CHARS = 80
+#: A word is known from this many occurrences on.
+KNOWN = 3
+#: Levels of the trie that are a row each; below, the few words under one prefix are compared.
+TRIE_CHARS = 8
 #: A length is a field limit of a source when this share of its texts (and LIMIT_LEAST of them) has exactly it.
 LIMIT_SHARE, LIMIT_LEAST = 0.03, 5
 
@@ -44,6 +52,9 @@ _ELLIPSIS = re.compile(r"(\.\.\.+|…)$")
 _SENTENCE = re.compile(r"[.!?。！？]['\"”’»)\]*_`]*$")
 _ITEM = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+(.*)$")
 _BARE_ITEM = re.compile(r"^\s*(?:[-*+•]|\d+[.)])$")
+_PLAIN_STOP = re.compile(r"[^\W\d_]{3,}\.")
+_GREETING = re.compile(r"[A-ZÀ-Þ][^.!?:;|`#]*,$")
+_NAME = re.compile(r"(?:[-–—~]+\s*)?(?:[A-ZÀ-Þ][\w'’-]*\.?(?:\s+|$)){1,5}")
 _FENCE = re.compile(r"^\s*(```+|~~~+)", re.M)
 _BLOCK = re.compile(r"^\s*(```|~~~).*?(?:^\s*\1[^\n]*$|\Z)", re.M | re.S)
 
@@ -54,27 +65,40 @@ def token_shape(token: str) -> str:
 
 
 def closing_keys(line: str) -> list[str]:
-    """The line in lower case with digits as 9, as it is and with each word and each pair of neighbours masked.
+    """The line in lower case with digits as 9, as it is and with each word and each pair of neighbours masked, as hashes.
 
-    A key whose last word is masked ends in ``\x02`` and that word, so that its fillers can be told apart.
+    A key whose last word is masked ends in ``\x02`` and that word, so that its fillers can be told apart. Each half of a
+    masked line is hashed as it grows, so a line of any length costs one pass.
     """
     line = re.sub(r"\d+", "9", line.strip().lower())
     words = list(_TOKEN.finditer(line))
-    if not words or len(words) > 10 or len(line) > 100:
+    if not words:
         return []
-    keys = [line]
+    before, after = [0] * (len(words) + 1), [0] * (len(words) + 1)
+    edges = [0, *(w.end() for w in words)]
+    for i, w in enumerate(words):  # hash of everything up to the beginning of word i + 1, and of its own gap
+        before[i + 1] = xxhash.xxh64_intdigest(line[edges[i] : w.end()], before[i])
+    after[-1] = xxhash.xxh64_intdigest(line[edges[-1] :])
+    for i in range(len(words) - 1, -1, -1):
+        after[i] = xxhash.xxh64_intdigest(line[edges[i] : edges[i + 1]], after[i + 1])
+    keys = [f"{after[0]:016x}"]
     for size in (1, 2):
         for i in range(len(words) - size + 1) if len(words) > size else ():
-            key, at = "", 0
-            for w in words[i : i + size]:
-                key, at = key + line[at : w.start()] + "\x01", w.end()
+            gaps = "\x01".join(line[edges[k] : words[k].start()] for k in range(i, i + size))
+            key = f"{xxhash.xxh64_intdigest(f'{before[i]} {size} {gaps} {after[i + size]}'):016x}"
             if i + size < len(words):
-                keys.append(key + line[at:])
+                keys.append(key)
             elif "9" not in words[-1].group(0):
-                keys.append(key + line[at:] + "\x02" + words[-1].group(0))
+                keys.append(key + "\x02" + words[-1].group(0))
     return keys
 
 
+def is_sign_off(lines: list[str]) -> bool:
+    """Whether the last line is a name, of up to five capitalised words, under a short greeting that ends in a comma."""
+    above = next((x.strip() for x in reversed(lines[:-1]) if x.strip()), "")
+    return bool(_GREETING.match(above) and len(above.split()) <= 5 and _NAME.fullmatch(lines[-1].strip()))
+
+
 def _table_verdict(lines: list[str]) -> str:
     rows = []
     for line in reversed(lines):
@@ -108,13 +132,16 @@ def tail_of(text: str) -> tuple[str, str, str, list[str]]:
     if last.count("`") % 2:
         return "cut", "open code span", token, []
     item = _ITEM.match(lines[-1])
+    if not (item and item.group(1).strip() != last.lstrip("-–—~ ")) and is_sign_off(lines):
+        return "ask", "sign-off", token, []
     if _SENTENCE.search(last):
         spoken = last.split()[-1].rstrip("'\"”’»)]*_`")
-        return ("ask", "full stop", "", [token_shape(spoken[-SHAPE_CHARS:])]) if spoken.endswith(".") else ("whole", "sentence", "", [])
+        plain = not spoken.endswith(".") or _PLAIN_STOP.fullmatch(spoken)
+        return ("whole", "sentence", "", []) if plain else ("ask", "full stop", "", [token_shape(spoken)])
     if item or _BARE_ITEM.match(last):
         words = item.group(1).split() if item else []
-        before = next((m.group(1) for m in map(_ITEM.match, reversed(lines[:-1][-3:])) if m), "")
-        if not words or len(words) > 4 or _SENTENCE.search(before.strip()) or last[-1] in ",;:-–—(":
+        before = _item_before(lines)
+        if not words or _SENTENCE.search(before.strip()) or last[-1] in ",;:-–—(":
             return "cut", "list item", token, []
         if before and len(before.split()) > len(words):
             return "cut", "list item", token, []
@@ -125,42 +152,57 @@ def tail_of(text: str) -> tuple[str, str, str, list[str]]:
     return ("ask", "closing line", token, keys) if keys else ("cut", "sentence", token, [])
 
 
+def _item_before(lines: list[str]) -> str:
+    """Text of the item before the last one of the same list; blank and indented lines may stand between."""
+    for line in reversed(lines[:-1]):
+        item = _ITEM.match(line)
+        if item:
+            return item.group(1)
+        if line.strip() and not line[0].isspace():
+            return ""
+    return ""
+
+
 def facts_of(text: str, counts: Counter) -> None:
     body = text.rstrip()
-    words = [w.lower() for w in _WORD.findall(body) if len(w) <= WORD_CHARS]
+    words = [w.lower() for w in _WORD.findall(body)]
     if words and body[-1:].isalpha():
         words.pop()
     counts.update(("word", w) for w in words)
     prose = _BLOCK.sub("", body)
     tokens = prose.split()
-    counts.update(("stop", token_shape(t[-SHAPE_CHARS:])) for t in tokens[:-1] if t.endswith("."))
+    counts.update(("stop", token_shape(t)) for t in tokens[:-1] if t.endswith("."))
     lines = prose.split("\n")
     for line in lines[:-1]:
         item = _ITEM.match(line)
-        if item and not _SENTENCE.search(item.group(1).rstrip()):
-            tail = _WORD.findall(item.group(1))
-            if tail:
-                counts[("item", tail[-1].lower())] += 1
-                counts[("itemlen", str(len(item.group(1).split())))] += 1
+        if not item:
+            continue
+        length, tail = str(len(item.group(1).split())), _WORD.findall(item.group(1))
+        if _SENTENCE.search(item.group(1).rstrip()):
+            counts[("itemdot", length)] += 1
+        elif tail:
+            counts[("item", tail[-1].lower())] += 1
+            counts[("itemlen", length)] += 1
+
+
+_READ = "h1 bigint, h2 bigint, verdict string, kind string, token string, keys array<string>, fact string, key string, n bigint"
 
 
-def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row per text on how it ends, and a row per fact of the batch; one pass."""
     for batch in batches:
         counts: Counter = Counter()
-        for text in batch["text"]:
+        tails = []
+        for h1, h2, text in zip(batch["h1"], batch["h2"], batch["text"], strict=True):
             counts["text", ""] += 1
             facts_of(text, counts)
-            verdict, kind, _, keys = tail_of(text)
-            if verdict == "ask" and kind in ("ellipsis", "closing line"):
-                counts.update(("closer", k) for k in set(keys))
-        yield pd.DataFrame({"kind": [k[0] for k in counts], "key": [k[1] for k in counts], "n": list(counts.values())})
-
-
-def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        tails = [tail_of(t) for t in batch["text"]]
-        columns = list(zip(*tails, strict=True)) if tails else [[], [], [], []]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "n_chars": batch["n_chars"], "verdict": columns[0], "kind": columns[1], "token": columns[2], "keys": columns[3]})
+            tails.append((h1, h2, *tail_of(text)))
+            if tails[-1][2] == "ask" and tails[-1][3] in ("ellipsis", "closing line"):
+                counts.update(("closer", k) for k in set(tails[-1][5]))
+        if tails:
+            yield pd.DataFrame(tails, columns=["h1", "h2", "verdict", "kind", "token", "keys"]).assign(fact=None, key=None, n=pd.NA).astype({"n": "Int64"})
+            facts = pd.DataFrame({"fact": [k[0] for k in counts], "key": [k[1] for k in counts], "n": list(counts.values())})
+            yield facts.assign(h1=pd.NA, h2=pd.NA, verdict=None, kind=None, token=None, keys=None).astype({"h1": "Int64", "h2": "Int64", "n": "Int64"})
 
 
 def judge_ends(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -171,11 +213,12 @@ def judge_ends(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     body = F.rtrim(F.col(text))
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"), F.length(text).cast("bigint").alias("n_chars")).where(F.length(body) > LEAST_CHARS)
-    id_type = dict(docs.dtypes)["doc_id"]
-    distinct = docs.groupBy(*[F.xxhash64(F.lit(i), "text").alias(f"h{i}") for i in (1, 2)]).agg(F.first("text").alias("text"))
-    facts = distinct.select("text").mapInPandas(_facts, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    facts = cut_lineage(facts)
-    tails = cut_lineage(docs.mapInPandas(_tails, f"doc_id {id_type}, source string, n_chars bigint, verdict string, kind string, token string, keys array<string>"))
+    docs = docs.withColumns({f"h{i}": F.xxhash64(F.lit(i), "text") for i in (1, 2)})
+    distinct = docs.groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    read = cut_lineage(distinct.mapInPandas(_read, _READ))
+    facts = cut_lineage(read.where("fact is not null").groupBy(F.col("fact").alias("kind"), "key").agg(F.sum("n").alias("n")))
+    ends = read.where("fact is null").select("h1", "h2", "verdict", "kind", "token", "keys")
+    tails = cut_lineage(join_split_hot(docs.drop("text"), ends, ["h1", "h2"], "inner").drop("h1", "h2"))
 
     lengths = tails.groupBy(F.coalesce("source", F.lit("\x00")).alias("place"), "n_chars").agg(F.count(F.lit(1)).alias("n"))
     totals = lengths.groupBy("place").agg(F.sum("n").alias("of"))
@@ -187,7 +230,9 @@ def judge_ends(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lines = facts.where("kind = 'closer'").groupBy("kind", F.substring_index("key", "\x02", 1).alias("key")).agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.bool_or(F.instr("key", "\x02") > 0).alias("slot"))
     closers = lines.where((F.col("n") >= max(CLOSER_LEAST, CLOSER_SHARE * total_texts)) & (~F.col("slot") | (2 * F.col("top") <= F.col("n")))).select("kind", "key", "n")
     items_seen = facts.where("kind = 'itemlen'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    lengths_seen = facts.where((F.col("kind") == "itemlen") & (F.col("n") >= ITEM_SHARE * items_seen))
+    # an item may end without a mark if those of its length mostly do
+    by_length = facts.where(F.col("kind").isin("itemlen", "itemdot")).groupBy("key").agg(F.sum(F.when(F.col("kind") == "itemlen", F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("kind") == "itemdot", F.col("n")).otherwise(0)).alias("dotted"))
+    lengths_seen = by_length.where((F.col("n") >= ITEM_SHARE * items_seen) & (F.col("n") >= F.col("dotted"))).select(F.lit("itemlen").alias("kind"), "key", "n")
     shapes = facts.where((F.col("kind") == "stop") & (F.col("n") >= SHAPE_SHARE * stops))
 
     # one row per distinct way to end that has to be looked up; the look-ups shuffle these, not the documents
@@ -198,7 +243,9 @@ def judge_ends(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     tokens = asked.where("token != ''").select("token").distinct()
     words = facts.where((F.col("kind") == "word") & (F.col("n") >= KNOWN)).select(F.col("key").alias("word"), "n")
-    trie = words.where(F.length("word") > 1).select(F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substring(word, 1, i))")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n_longer"))
+    nodes = words.select("word", F.explode(F.expr(f"transform(sequence(1, least(length(word), {TRIE_CHARS})), i -> substring(word, 1, i))")).alias("node"))
+    under = tokens.withColumn("node", F.substring("token", 1, TRIE_CHARS)).join(nodes, "node").where(F.col("word").startswith(F.col("token")) & (F.col("word") != F.col("token")))
+    trie = under.groupBy("token").agg(F.count(F.lit(1)).alias("n_longer"))
     items = facts.where("kind = 'item'").select(F.col("key").alias("token"), F.col("n").alias("n_items"))
     known = tokens.join(trie, "token", "left").join(words.select(F.col("word").alias("token"), F.col("n").alias("n_word")), "token", "left").join(items, "token", "left").na.fill(0)
 
@@ -215,14 +262,16 @@ def judge_ends(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     full = join_split_hot(full, limits, "place", "left")
     at_limit = F.coalesce((F.col("field_limit") - F.col("n_chars")).between(0, 2), F.lit(False))
     usual = F.col("shared") | F.lit(items_seen == 0)
-    item_cut = F.col("part_of_word") | ~usual | (~F.col("ends_items") & (at_limit | F.col("known_word")))
-    cut = (
+    no_item = ~usual | (~F.col("ends_items") & (at_limit | F.col("known_word")))
+    open_end = (
         F.when(F.col("verdict") == "cut", True)
         .when(F.col("verdict") == "whole", False)
-        .when(F.col("kind") == "list item", item_cut)
-        .when(F.col("kind") == "closing line", ~F.col("shared") | F.col("part_of_word"))
+        .when(F.col("kind") == "list item", no_item)
+        .when(F.col("kind") == "sign-off", F.lit(False))
         .otherwise(~F.col("shared"))
     )
+    unfinished = (F.col("verdict") == "ask") & F.col("kind").isin("list item", "sign-off", "closing line") & F.col("part_of_word")
+    cut = unfinished | open_end
     evidence = F.when(F.coalesce("part_of_word", F.lit(False)), F.lit("unfinished word")).when(at_limit, F.lit("field limit")).otherwise(F.col("kind"))
     return full.select("doc_id", "source", "n_chars", "kind", evidence.alias("evidence"), F.coalesce(cut, F.lit(False)).alias("is_cut"))
 
