@@ -45,14 +45,85 @@ def similar_to(points: DataFrame, chunk: object, limit: int = 10, vector: str =
     return points.where(F.col(key) != chunk).crossJoin(F.broadcast(own)).withColumn("score", cosine(F.col(vector), F.col("_query"))).drop("_query").orderBy(F.col("score").desc(), F.col(key)).limit(limit)
 
 
+#: Query vectors that travel to the workers at once.
+QUERY_BLOCK = 4096
+
+
+def _unit_rows(vectors: list, width: int):
+    """Matrix of unit rows; vectors of another length, without length, or null become zero rows, which score 0."""
+    import numpy as np
+
+    out = np.zeros((len(vectors), width))
+    for i, v in enumerate(vectors):
+        if v is not None and len(v) == width:
+            row = np.asarray(v, dtype=float)
+            size = np.sqrt((row * row).sum())
+            if size > 0 and np.isfinite(size):
+                out[i] = row / size
+    return out
+
+
+def vector_search_many(points: DataFrame, queries: DataFrame, limit: int = 10, vector: str = "vector", key: str = "chunk_id", itself: bool = True, cells: tuple[str, object, int] | None = None) -> DataFrame:
+    """(query_id, key, score): for each row (query_id, vector) of ``queries`` the ``limit`` points of highest cosine, ties by key.
+
+    Scores are compared with 6 digits. The queries go to the points in blocks of ``QUERY_BLOCK``; every batch of points meets a
+    block in one matrix product and hands on its best ``limit`` a query, so points are never shuffled and a hot cell or
+    source spreads like any other rows. With ``itself`` off a point of a query's own id is left out. Null query ids or vectors
+    find nothing. ``cells`` (column of the points, centres, probes) restricts each query to its nearest cells.
+    """
+    import numpy as np
+    import pandas as pd
+
+    wanted = queries.select("query_id", "vector").where("query_id is not null and vector is not null").dropDuplicates(["query_id"])
+    kinds = dict(wanted.dtypes)["query_id"], dict(points.dtypes)[key]
+    schema = f"query_id {kinds[0]}, {key} {kinds[1]}, score double"
+    columns = [key, vector] + ([cells[0]] if cells else [])
+    chosen = points.select(*columns).where(F.col(key).isNotNull())
+    blocks = -(-wanted.count() // QUERY_BLOCK)
+    found = points.sparkSession.createDataFrame([], schema)
+    for b in range(blocks):
+        rows = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        if not rows:
+            continue
+        ids, width = [r["query_id"] for r in rows], max(len(r["vector"]) for r in rows)
+        sent = points.sparkSession.sparkContext.broadcast((ids, _unit_rows([r["vector"] for r in rows], width)))
+
+        def scan(batches, sent=sent, width=width):
+            ids, matrix = sent.value
+            near = np.argsort(-(matrix @ cells[1].T), axis=1)[:, : cells[2]] if cells and len(cells[1]) else None
+            for batch in batches:
+                keys, scores = batch[key].to_numpy(), np.round(_unit_rows(batch[vector].tolist(), width) @ matrix.T, 6)
+                if near is not None:
+                    own = batch[cells[0]].to_numpy()
+                out = []
+                for q, name in enumerate(ids):
+                    mine = scores[:, q]
+                    at = np.arange(len(mine)) if near is None else np.flatnonzero(np.isin(own, near[q]))
+                    if not itself:
+                        at = at[keys[at] != name]
+                    if len(at) > limit:
+                        least = np.partition(mine[at], len(at) - limit)[len(at) - limit]
+                        at = at[mine[at] >= least]
+                    best = sorted(zip((-mine[at]).tolist(), keys[at].tolist(), strict=True))[:limit]
+                    out += [(name, k, -s + 0.0) for s, k in best]
+                yield pd.DataFrame(out, columns=["query_id", key, "score"])
+
+        found = found.unionByName(chosen.mapInPandas(scan, schema))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(key))
+    return found.distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
+
+
 class VectorIndex:
     """Inverted-file index: centroids from a bounded sample of ``sample`` vectors, every vector assigned to one of them.
 
-    A search probes the ``probes`` nearest cells and ranks their members exactly. Cells may be of any size: ranking is a
-    filter and a top-k, so a cell that holds a third of all vectors still spreads over all tasks.
+    A search probes the nearest cells and ranks their members exactly; how many follows from the sample: the fewest that find
+    ``recall`` of the true neighbours of ``QUERY_SAMPLE`` of its vectors. Cells may be of any size: ranking is a filter and a
+    top-k, so a cell that holds a third of all vectors still spreads over all tasks.
     """
 
-    def __init__(self, points: DataFrame, cells: int = 16, sample: int = 20_000, seed: int = 7, vector: str = "vector", key: str = "chunk_id", rounds: int = 8):
+    QUERY_SAMPLE = 256
+
+    def __init__(self, points: DataFrame, cells: int = 16, sample: int = 20_000, seed: int = 7, vector: str = "vector", key: str = "chunk_id", rounds: int = 8, recall: float = 0.95):
         import numpy as np
 
         self.vector, self.key = vector, key
@@ -67,21 +138,49 @@ class VectorIndex:
                     mean = rows[owner == c].mean(axis=0)
                     centres[c] = mean / (np.linalg.norm(mean) or 1.0)
         self.centres = centres
+        self.probes = self._enough(rows, recall)
         self.points = points.withColumn("cell", self._nearest(F.col(vector)))
 
+    def _enough(self, rows, recall: float, k: int = 10) -> int:
+        """Fewest cells that hold ``recall`` of the ``k`` nearest sample vectors of the first vectors of the sample."""
+        import numpy as np
+
+        if len(rows) < 2:
+            return max(1, len(self.centres))
+        asked = rows[: self.QUERY_SAMPLE]
+        scores = asked @ rows.T
+        scores[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+        nearest = np.argsort(-scores, axis=1)[:, : min(k, len(rows) - 1)]
+        owner = (rows @ self.centres.T).argmax(axis=1)
+        order = np.argsort(-(asked @ self.centres.T), axis=1)
+        place = np.argsort(order, axis=1)  # how many cells come before each cell, by query
+        needed = np.sort(np.take_along_axis(place, owner[nearest], axis=1).ravel()) + 1
+        return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])
+
     def _nearest(self, v: Column) -> Column:
         if not len(self.centres):
             return F.lit(0)
         scores = F.array(*[F.aggregate(F.zip_with(v, literal_vector(c.tolist()), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x) for c in self.centres])
         return F.array_position(scores, F.array_max(scores)).cast("int") - 1
 
-    def search(self, query: list[float], limit: int = 10, probes: int = 6) -> DataFrame:
+    def search(self, query: list[float], limit: int = 10, probes: int | None = None) -> DataFrame:
         import numpy as np
 
-        near = [int(i) for i in np.argsort(-(self.centres @ np.array(query)))[:probes]] if len(self.centres) else [0]
+        near = [int(i) for i in np.argsort(-(self.centres @ np.array(query)))[: probes or self.probes]] if len(self.centres) else [0]
         return vector_search(self.points.where(F.col("cell").isin(near)), query, limit, vector=self.vector, key=self.key)
 
 
+    def search_many(self, queries: DataFrame, limit: int = 10, probes: int | None = None, itself: bool = True) -> DataFrame:
+        """As ``vector_search_many`` over the ``probes`` nearest cells of each query; with all cells it is exact."""
+        return vector_search_many(self.points, queries, limit, self.vector, self.key, itself, ("cell", self.centres, probes or self.probes))
+
+
+def search_recall(found: DataFrame, exact: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """One row: number of queries and the share of the exact hits that were found."""
+    hits = exact.select("query_id", key).join(found.select("query_id", key).withColumn("_hit", F.lit(1)), ["query_id", key], "left")
+    return hits.agg(F.count_distinct("query_id").alias("n_queries"), F.round(F.avg(F.coalesce("_hit", F.lit(0))), 6).alias("recall"))
+
+
 # ------------------------------------------------------------------ merging
 
 

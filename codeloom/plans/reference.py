@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text, vectors
 from codeloom.functions.languages import EXTENSIONS, detect_language
-from codeloom.operators import chunking, context, graph, metrics, resolve, retrieval, store, text_search
+from codeloom.operators import chunking, context, enrich, graph, metrics, resolve, retrieval, store, text_search
 from codeloom.parse import files as parsing
 from codeloom.session import cut_lineage, read_table
 from codeloom.sources.ignore import is_ignored, rules_of
@@ -56,14 +56,38 @@ def index_stats(spark, sf_dir):
     return store.file_stats(read_table(spark, sf_dir, "indexed_files"))
 
 
-@query("SELECT file_path, round(modified_time - epoch_us(indexed_at) / 1e6, 3) AS stale_seconds FROM indexed_files WHERE round(modified_time - epoch_us(indexed_at) / 1e6, 3) > 0")
+_STALE = """WITH l AS (SELECT file_path, max(indexed_at) AS indexed_at FROM indexed_files GROUP BY 1), p AS (SELECT DISTINCT file_path, modified_time FROM processed_files),
+s AS (SELECT file_path, round(modified_time - epoch_us(indexed_at) / 1e6, 3) AS stale_seconds FROM p JOIN l USING (file_path) WHERE round(modified_time - epoch_us(indexed_at) / 1e6, 3) > 0)"""
+
+
+def _dated(spark, sf_dir) -> DataFrame:
+    """The files as they are now with the time they were last indexed."""
+    last = read_table(spark, sf_dir, "indexed_files").groupBy("file_path").agg(F.max("indexed_at").alias("indexed_at"))
+    return read_table(spark, sf_dir, "processed_files").select("file_path", "modified_time").distinct().join(last, "file_path")
+
+
+@query(_STALE + "SELECT file_path, stale_seconds FROM s")
 def stale_files(spark, sf_dir):
-    return store.stale_files(read_table(spark, sf_dir, "indexed_files"))
+    return store.stale_files(_dated(spark, sf_dir))
 
 
-@query()
+@query(_STALE + """, t AS (SELECT * FROM s ORDER BY stale_seconds DESC, file_path LIMIT 5)
+SELECT (SELECT count(*) FROM s) AS n_stale, (SELECT string_agg(file_path || '=' || CAST(round(stale_seconds / 3600, 2) AS VARCHAR), '; ' ORDER BY stale_seconds DESC, file_path || '=' || CAST(round(stale_seconds / 3600, 2) AS VARCHAR)) FROM t) AS most_stale""")
 def staleness_summary(spark, sf_dir):
-    return store.staleness_summary(read_table(spark, sf_dir, "indexed_files"))
+    return store.staleness_summary(_dated(spark, sf_dir))
+
+
+@query("""WITH l AS (SELECT lower(coalesce(language, 'unknown')) AS g, count(*) AS n FROM indexed_files GROUP BY 1)
+SELECT count(*) AS n_files, CAST(coalesce(sum(chunk_count), 0) AS BIGINT) AS n_chunks, CAST(coalesce(sum(line_count), 0) AS BIGINT) AS n_lines, (SELECT string_agg(g || '=' || n, ',' ORDER BY g) FROM l) AS languages FROM indexed_files""")
+def combined_stats(spark, sf_dir):
+    stats = store.combined_stats(read_table(spark, sf_dir, "indexed_files"))
+    return stats.withColumn("languages", F.array_join(F.transform(F.map_entries("languages"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","))
+
+
+@query("""SELECT DISTINCT file_path FROM (SELECT file_path FROM indexed_files UNION SELECT unnest(from_json(file_paths, '["VARCHAR"]')) FROM pending_batches) WHERE file_path IS NOT NULL""")
+def pending_merged(spark, sf_dir):
+    named = read_table(spark, sf_dir, "pending_batches").select(F.explode(F.from_json("file_paths", "array<string>")).alias("file_path"))
+    return store.merge_pending(read_table(spark, sf_dir, "indexed_files"), named)
 
 
 @query("SELECT file_path, indexed_at FROM indexed_files WHERE indexed_at < TIMESTAMP '2025-06-01 00:00:00'")
@@ -160,7 +184,24 @@ def query_modifiers(spark, sf_dir):
     return parts.select("query_id", "p.clean", "p.include", F.array_join("p.excludes", ",").alias("excludes"))
 
 
-@query()
+_IGNORED = [
+    ("p SIMILAR TO '(.*/)?[.][^/]*'", True),
+    ("regexp_matches(p, '^(.*/)?[$][^/]*$')", True),
+    ("regexp_matches(p, '^(.*/)?(__pycache__|[^/]*[.]pyc|[^/]*[.]egg-info|[.]venv|venv|[.]tox|[.]pytest_cache|[.]uv_cache|[.]ruff_cache|[.]hypothesis|node_modules|dist|build)$')", True),
+    ("regexp_matches(p, '^(.*/)?[^/]*[.]min[.]js$')", True),
+    ("p = 'ordered-tally-1000/gen' AND is_folder", True),
+    ("regexp_matches(p, '^(.*/)?static$') AND is_folder", True),
+    ("regexp_matches(p, '^(.*/)?keep[.]js$')", False),
+    ("regexp_matches(p, '^loose-bucket-1001/src/(.*/)?vendor$') AND is_folder", True),
+    ("regexp_matches(p, '^loose-bucket-1001/(.*/)?[^/]*[.]json$')", True),
+    ("regexp_matches(p, '^loose-bucket-1001/(.*/)?[^/]*index[^/]*[.]json$')", False),
+]
+_IGNORED_CASE = "CASE " + " ".join(f"WHEN {test} THEN {str(verdict).lower()}" for test, verdict in reversed(_IGNORED)) + " ELSE false END"
+
+
+@query(f"""WITH f AS (SELECT DISTINCT file_path, string_split(file_path, '/') AS s FROM processed_files WHERE file_path IS NOT NULL),
+a AS (SELECT file_path, array_to_string(s[1:i], '/') AS p, i < len(s) AS is_folder FROM (SELECT file_path, s, unnest(range(1, len(s) + 1)) AS i FROM f))
+SELECT file_path FROM a GROUP BY 1 HAVING bool_or({_IGNORED_CASE})""")
 def ignored_paths(spark, sf_dir):
     rules = rules_of({"": "*.min.js\n/ordered-tally-1000/gen/\nstatic/\n!keep.js\n", "loose-bucket-1001": "src/**/vendor/\n*.json\n!*index*.json\n"})
     return _files(spark, sf_dir).where(is_ignored(F.col("file_path"), rules)).select("file_path")
@@ -228,22 +269,37 @@ def _probe_sql() -> str:
     return "[" + ", ".join(repr(v) for v in _probe()) + "]::DOUBLE[]"
 
 
-_COSINE = f"round(list_cosine_similarity(embedding::DOUBLE[], {_probe_sql()}), 6)"
+def _queries(spark, sf_dir) -> DataFrame:
+    """The stated query set: every vector whose id is divisible by 50."""
+    return _points(spark, sf_dir).where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+
+
+def _topk_sql(condition: str, limit: int) -> str:
+    return f"""WITH q AS (SELECT DISTINCT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT q.query_id, e.vec_id AS chunk_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.v), 6) AS score FROM q, (SELECT DISTINCT vec_id, embedding, label FROM embeddings) e WHERE {condition})
+SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM s) WHERE n <= {limit}"""
 
 
-@query(f"SELECT vec_id AS chunk_id, {_COSINE} AS score FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_probe_sql()}) DESC, vec_id LIMIT 20")
+@query(_topk_sql("true", 20))
 def vector_topk(spark, sf_dir):
-    return retrieval.vector_search(_points(spark, sf_dir), _probe(), 20).select("chunk_id", F.round("score", 6).alias("score"))
+    """Every query of the set against all vectors."""
+    return retrieval.vector_search_many(_points(spark, sf_dir), _queries(spark, sf_dir), 20)
 
 
-@query(f"SELECT vec_id AS chunk_id, label AS artifact_type, {_COSINE} AS score FROM embeddings WHERE label IN (1, 3) ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_probe_sql()}) DESC, vec_id LIMIT 20")
+@query(_topk_sql("e.label IN (1, 3)", 20))
 def vector_filtered_topk(spark, sf_dir):
-    return retrieval.vector_search(_points(spark, sf_dir), _probe(), 20, artifact_types=[1, 3]).select("chunk_id", "artifact_type", F.round("score", 6).alias("score"))
+    return retrieval.vector_search_many(_points(spark, sf_dir).where(F.col("artifact_type").isin(1, 3)), _queries(spark, sf_dir), 20)
 
 
-@query("WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 17 LIMIT 1) SELECT vec_id AS chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS score FROM embeddings, q WHERE vec_id <> 17 ORDER BY list_cosine_similarity(embedding::DOUBLE[], v) DESC, vec_id LIMIT 10")
+@query(_topk_sql("e.vec_id <> q.query_id", 10))
 def similar_chunks(spark, sf_dir):
-    return retrieval.similar_to(_points(spark, sf_dir), 17).select("chunk_id", F.round("score", 6).alias("score"))
+    return retrieval.vector_search_many(_points(spark, sf_dir), _queries(spark, sf_dir), 10, itself=False)
+
+
+@query(f"SELECT vec_id AS chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], {_probe_sql()}), 6) AS score FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_probe_sql()}) DESC, vec_id LIMIT 20")
+def vector_topk_of_text(spark, sf_dir):
+    """The 20 vectors nearest to the embedded text of one question."""
+    return retrieval.vector_search(_points(spark, sf_dir), _probe(), 20).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT vec_id AS chunk_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS first_value, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS squares FROM embeddings")
@@ -252,10 +308,49 @@ def unit_vectors(spark, sf_dir):
     return rows.select("chunk_id", F.round(vectors.unit(F.col("vector"))[0], 6).alias("first_value"), F.round(vectors.dot(F.col("vector"), F.col("vector")), 4).alias("squares"))
 
 
+@query("SELECT count(*) AS n_queries, true AS is_enough FROM (SELECT DISTINCT vec_id FROM embeddings WHERE vec_id % 50 = 0)")
+def vector_index_recall(spark, sf_dir):
+    """Recall of the inverted-file index (fitted on a bounded sample, every vector indexed) for the query set: 0.9 or more."""
+    points, queries = _points(spark, sf_dir), _queries(spark, sf_dir)
+    found = retrieval.VectorIndex(points).search_many(queries, 10, itself=False)
+    exact = retrieval.vector_search_many(points, queries, 10, itself=False)
+    return retrieval.search_recall(found, exact).select("n_queries", (F.col("recall") >= 0.9).alias("is_enough"))
+
+
 @query()
-def vector_index_probe(spark, sf_dir):
-    """Top 20 through the inverted-file index (fitted on a bounded sample, every vector indexed)."""
-    return retrieval.VectorIndex(_points(spark, sf_dir)).search(_probe(), 20).select("chunk_id", F.round("score", 6).alias("score"))
+def vector_index_topk(spark, sf_dir):
+    return retrieval.VectorIndex(_points(spark, sf_dir)).search_many(_queries(spark, sf_dir), 10, itself=False)
+
+
+@query("SELECT count(*) AS n_points, count(DISTINCT label) AS n_point_files FROM embeddings")
+def vector_statistics(spark, sf_dir):
+    return retrieval.vector_stats(_points(spark, sf_dir).withColumn("file_path", F.col("artifact_type").cast("string")))
+
+
+@query("SELECT DISTINCT file_path FROM search_results WHERE trim(file_path) <> ''")
+def distinct_point_files(spark, sf_dir):
+    return retrieval.distinct_files(read_table(spark, sf_dir, "search_results"))
+
+
+@query("""WITH c AS (SELECT query_id, chunk_id, max(score) AS score FROM search_results WHERE backend = 'vector' AND score IS NOT NULL AND NOT isnan(score) GROUP BY 1, 2),
+o AS (SELECT query_id || '/' || chunk_id AS chunk_id, row_number() OVER (ORDER BY score DESC, query_id || '/' || chunk_id) - 1 AS i FROM c)
+SELECT chunk_id, CAST(1.0 / (1 + i) AS DOUBLE) AS score FROM o WHERE i % 3 = 0 ORDER BY i DESC""".replace("1.0 / (1 + i)", "round(i / 7.0, 6)"))
+def reranked_by_answer(spark, sf_dir):
+    """All vector hits in the order of an answer that scores every third position, the last ones best."""
+    rows = read_table(spark, sf_dir, "search_results").where("backend = 'vector' and score is not null and not isnan(score)")
+    hits = rows.groupBy(F.concat_ws("/", "query_id", "chunk_id").alias("chunk_id")).agg(F.max("score").alias("score"))
+    n = hits.count()
+    answer = spark.range(0, n + 9, 3).select(F.col("id").cast("int").alias("position"), F.round(F.col("id") / 7.0, 6).alias("score"))
+    return retrieval.rerank_by_response(hits, answer, n).select("chunk_id", "score")
+
+
+@query("SELECT DISTINCT node_id, name AS kept, lower(language) AS language FROM ast_nodes WHERE name IS NOT NULL AND language IS NOT NULL")
+def extra_payload(spark, sf_dir):
+    """Payload entries beside the columns of a point."""
+    nodes = read_table(spark, sf_dir, "ast_nodes").where("name is not null and language is not null")
+    payload = F.create_map(F.lit("file_path"), F.coalesce("file_path", F.lit("")), F.lit("content"), F.coalesce("content", F.lit("")), F.lit("function_name"), F.col("name"), F.lit("language"), F.lower("language"))
+    more = nodes.select("node_id", retrieval.extra_payload(payload).alias("m"))
+    return more.where(F.size("m") == 2).select("node_id", F.col("m")["function_name"].alias("kept"), F.col("m")["language"].alias("language")).distinct()
 
 
 def _hits(spark, sf_dir, backend: str) -> DataFrame:
@@ -355,10 +450,10 @@ def graph_neighbour_nodes(spark, sf_dir):
 
 
 def _pagerank_sql(rounds: int, d: float = 0.85) -> str:
-    parts = [f"e AS (SELECT DISTINCT s, t FROM ({_EDGES}))", "v AS (SELECT s AS x FROM e UNION SELECT t FROM e)", "g AS (SELECT s, count(*) AS o FROM e GROUP BY s)", "n AS (SELECT count(*) AS n FROM v)", "r0 AS (SELECT x, 1.0::DOUBLE / n AS p FROM v, n)"]
+    parts = [f"e AS MATERIALIZED (SELECT DISTINCT s, t FROM ({_EDGES}))", "v AS (SELECT s AS x FROM e UNION SELECT t FROM e)", "g AS (SELECT s, count(*) AS o FROM e GROUP BY s)", "n AS (SELECT count(*) AS n FROM v)", "r0 AS MATERIALIZED (SELECT x, 1.0::DOUBLE / n AS p FROM v, n)"]
     for i in range(1, rounds + 1):
         q = f"r{i - 1}"
-        parts.append(f"r{i} AS (SELECT v.x, (1 - {d}) / n + {d} * (coalesce(i.p, 0) + coalesce((SELECT sum(p) FROM {q} WHERE x NOT IN (SELECT s FROM g)), 0) / n) AS p FROM v CROSS JOIN n LEFT JOIN (SELECT e.t AS x, sum({q}.p / g.o) AS p FROM e JOIN {q} ON {q}.x = e.s JOIN g ON g.s = e.s GROUP BY e.t) i ON i.x = v.x)")
+        parts.append(f"r{i} AS MATERIALIZED (SELECT v.x, (1 - {d}) / n + {d} * (coalesce(i.p, 0) + coalesce((SELECT sum(p) FROM {q} WHERE x NOT IN (SELECT s FROM g)), 0) / n) AS p FROM v CROSS JOIN n LEFT JOIN (SELECT e.t AS x, sum({q}.p / g.o) AS p FROM e JOIN {q} ON {q}.x = e.s JOIN g ON g.s = e.s GROUP BY e.t) i ON i.x = v.x)")
     return "WITH " + ", ".join(parts) + f" SELECT x AS symbol_id, round(p, 9) AS score FROM r{rounds}"
 
 
@@ -367,24 +462,29 @@ def pagerank_five_rounds(spark, sf_dir):
     return graph.pagerank(read_table(spark, sf_dir, "graph_edges"), iterations=5, tolerance=0).select("symbol_id", F.round("score", 9).alias("score"))
 
 
+@query(_pagerank_sql(30))
+def pagerank_thirty_rounds(spark, sf_dir):
+    return graph.pagerank(read_table(spark, sf_dir, "graph_edges"), iterations=30, tolerance=0).select("symbol_id", F.round("score", 9).alias("score"))
+
+
 @query()
 def pagerank_converged(spark, sf_dir):
     return graph.pagerank(read_table(spark, sf_dir, "graph_edges")).select("symbol_id", F.round("score", 9).alias("score"))
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT DISTINCT s, t FROM ({_EDGES}) WHERE k = 'inherits' AND s <> t), w AS (
-  SELECT [s, t] AS p, t AS z FROM e WHERE s < t UNION ALL SELECT list_append(p, e.t), e.t FROM w JOIN e ON e.s = w.z WHERE e.t > p[1] AND NOT list_contains(p, e.t) AND len(p) < 6)
+  SELECT [s, t] AS p, t AS z FROM e WHERE s < t UNION ALL SELECT list_append(p, e.t), e.t FROM w JOIN e ON e.s = w.z WHERE e.t > p[1] AND NOT list_contains(p, e.t))
 SELECT array_to_string(p, ' > ') AS cycle, CAST(len(p) AS INTEGER) AS length FROM w JOIN e ON e.s = w.z AND e.t = p[1]""")
 def inheritance_cycles(spark, sf_dir):
     return graph.cycles(read_table(spark, sf_dir, "graph_edges"), edge_type="inherits")
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT DISTINCT s, t FROM ({_EDGES}) WHERE k = 'inherits' AND s <> t), v AS (SELECT s AS x FROM e UNION SELECT t FROM e),
-w AS (SELECT x, x AS z, 0 AS d FROM v WHERE x NOT IN (SELECT t FROM e) UNION ALL SELECT w.x, e.t, d + 1 FROM w JOIN e ON e.s = w.z WHERE d < 300),
 c AS (SELECT x, x AS z FROM v UNION SELECT c.x, e.t FROM c JOIN e ON e.s = c.z),
 o AS (SELECT DISTINCT a.s AS x FROM e a JOIN c ON c.x = a.t AND c.z = a.s),
-bad AS (SELECT DISTINCT c.z FROM c JOIN o ON o.x = c.x)
-SELECT z AS symbol_id, CAST(max(d) AS INTEGER) AS level FROM w WHERE z NOT IN (SELECT z FROM bad) GROUP BY 1""")
+bad AS (SELECT DISTINCT c.z FROM c JOIN o ON o.x = c.x),
+w AS (SELECT x AS z, 0 AS d FROM v WHERE x NOT IN (SELECT t FROM e) UNION SELECT e.t, d + 1 FROM w JOIN e ON e.s = w.z WHERE e.t NOT IN (SELECT z FROM bad))
+SELECT z AS symbol_id, CAST(max(d) AS INTEGER) AS level FROM w GROUP BY 1""")
 def inheritance_levels(spark, sf_dir):
     return graph.topological_levels(read_table(spark, sf_dir, "graph_edges"), "inherits")
 
@@ -395,6 +495,12 @@ def import_order(spark, sf_dir):
     return graph.topological_order(read_table(spark, sf_dir, "graph_edges"), "import")
 
 
+@query("SELECT DISTINCT id FROM graph_edges WHERE confidence >= 0.5 AND coalesce(inferred, false)")
+def confident_edges(spark, sf_dir):
+    """Inferred edges of enough confidence."""
+    return enrich.confident(read_table(spark, sf_dir, "graph_edges").where("coalesce(inferred, false)"), 0.5).select("id").distinct()
+
+
 @query(f"""WITH p AS (SELECT DISTINCT s, t FROM ({_EDGES}) WHERE k IN ('call', 'inferred')), o AS (SELECT s AS x, count(*) AS n FROM p GROUP BY 1), i AS (SELECT t AS x, count(*) AS n FROM p GROUP BY 1)
 SELECT coalesce(o.x, i.x) AS symbol_id, coalesce(i.n, 0) AS n_callers, coalesce(o.n, 0) AS n_callees FROM o FULL JOIN i ON o.x = i.x""")
 def symbol_degrees(spark, sf_dir):
@@ -420,9 +526,52 @@ def reference_resolution(spark, sf_dir):
     return resolve.resolve_names(refs, read_table(spark, sf_dir, "symbol_index")).select("id", "name", "target_fqn", "step")
 
 
-@query("SELECT DISTINCT fqn, file_path FROM symbol_index WHERE fqn = 'drain' OR ends_with(fqn, '.drainWindow') OR fqn = 'drainWindow'")
+_COMMON = "(SELECT n FROM (SELECT string_split(fqn, '.')[-1] AS n, count(DISTINCT fqn) AS c FROM symbol_index WHERE fqn <> '' GROUP BY 1) ORDER BY c DESC, n LIMIT 1)"
+
+
+def _common_name(spark, sf_dir) -> str:
+    """The last part that most symbols share: the argument of the look-up."""
+    names = read_table(spark, sf_dir, "symbol_index").where("fqn != ''").groupBy(F.element_at(F.split("fqn", r"\."), -1).alias("n")).agg(F.count_distinct("fqn").alias("c"))
+    return names.orderBy(F.col("c").desc(), "n").first()[0]
+
+
+@query(f"SELECT DISTINCT fqn, file_path FROM symbol_index WHERE fqn = {_COMMON} OR ends_with(fqn, '.' || {_COMMON})")
 def symbols_by_name(spark, sf_dir):
-    return store.symbols_by_name(read_table(spark, sf_dir, "symbol_index"), "drainWindow").select("fqn", "file_path").distinct()
+    return store.symbols_by_name(read_table(spark, sf_dir, "symbol_index"), _common_name(spark, sf_dir)).select("fqn", "file_path").distinct()
+
+
+_CALLED = "(SELECT file_path FROM (SELECT s.file_path, count(*) AS c FROM symbol_index s JOIN graph_edges e ON trim(e.target_id) = s.fqn WHERE s.file_path <> '' GROUP BY 1) ORDER BY c DESC, file_path LIMIT 1)"
+
+
+@query(f"""WITH o AS (SELECT DISTINCT fqn, start_line, end_line, symbol_type FROM symbol_index WHERE file_path = {_CALLED}), r AS (SELECT trim(target_id) AS fqn, count(DISTINCT (file_path, line)) AS n FROM graph_edges GROUP BY 1)
+SELECT o.fqn, o.start_line, o.end_line, o.symbol_type, CAST(coalesce(r.n, 0) AS INTEGER) AS n_references FROM o LEFT JOIN r USING (fqn)""")
+def symbols_in_file(spark, sf_dir):
+    """Symbols of the file whose symbols are named most often, with their references."""
+    symbols, edges = read_table(spark, sf_dir, "symbol_index"), read_table(spark, sf_dir, "graph_edges")
+    named = symbols.where("file_path != ''").join(edges.select(F.trim("target_id").alias("fqn")), "fqn").groupBy("file_path").agg(F.count(F.lit(1)).alias("c"))
+    path = named.orderBy(F.col("c").desc(), "file_path").first()[0]
+    return store.symbols_in_file(symbols, edges, path).select("fqn", "start_line", "end_line", "symbol_type", F.size("references").alias("n_references"))
+
+
+@query("""WITH i AS (SELECT DISTINCT string_split(trim(symbol_id), '.')[-1] AS item_id FROM search_results UNION SELECT DISTINCT trim(symbol_id) FROM search_results), f AS (SELECT DISTINCT fqn FROM symbol_index WHERE fqn <> ''),
+s AS (SELECT string_split(fqn, '.')[-1] AS k, min(fqn) AS fqn FROM f GROUP BY 1)
+SELECT i.item_id, coalesce(f.fqn, s.fqn) AS fqn FROM i LEFT JOIN f ON f.fqn = i.item_id LEFT JOIN s ON s.k = i.item_id""")
+def hits_to_entries(spark, sf_dir):
+    """Ids of results, whole and by their last part, to symbol entries."""
+    ids = read_table(spark, sf_dir, "search_results").select(F.trim("symbol_id").alias("item_id"))
+    both = ids.unionByName(ids.select(F.element_at(F.split("item_id", r"\."), -1).alias("item_id"))).distinct()
+    return context.match_symbols(both, read_table(spark, sf_dir, "symbol_index")).select("item_id", "fqn")
+
+
+@query("""WITH n AS (SELECT DISTINCT file_path, trim(symbol_id) AS s FROM graph_nodes WHERE deleted_at IS NULL AND file_path <> '' AND trim(symbol_id) <> ''),
+e AS (SELECT trim(source_id) AS a, trim(target_id) AS b, lower(trim(edge_type)) AS k, file_path FROM graph_edges WHERE trim(source_id) <> '' AND trim(target_id) <> ''),
+p AS (SELECT DISTINCT file_path FROM processed_files WHERE file_path <> '')
+SELECT p.file_path, (SELECT count(*) FROM n WHERE n.file_path = p.file_path) AS n_symbols, coalesce((SELECT string_agg(DISTINCT b, ',' ORDER BY b) FROM e WHERE k = 'import' AND e.file_path = p.file_path), '') AS imports,
+  coalesce((SELECT string_agg(DISTINCT e.file_path, ',' ORDER BY e.file_path) FROM n JOIN e ON e.b = n.s WHERE n.file_path = p.file_path AND e.file_path <> '' AND e.file_path <> p.file_path), '') AS dependents FROM p""")
+def file_contexts(spark, sf_dir):
+    """Symbols, imports and dependents of every file."""
+    found = context.file_context(read_table(spark, sf_dir, "processed_files"), read_table(spark, sf_dir, "graph_nodes"), read_table(spark, sf_dir, "graph_edges"))
+    return found.select("file_path", F.size("symbols").cast("bigint").alias("n_symbols"), F.array_join("imports", ",").alias("imports"), F.array_join("dependents", ",").alias("dependents"))
 
 
 @query("SELECT trim(symbol_id) AS symbol_id, round(max(struct_pack(c := computed_at, s := score)).s, 12) AS pagerank FROM pagerank_scores WHERE graph_type = 'call' AND score IS NOT NULL GROUP BY 1")
@@ -473,7 +622,16 @@ def fixed_chunks(spark, sf_dir):
     return chunking.fixed_chunks(read_table(spark, sf_dir, "processed_files").select("file_path", "content").distinct())
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT file_path, min(content) AS content FROM processed_files WHERE file_path IS NOT NULL AND content IS NOT NULL GROUP BY 1),
+l AS (SELECT file_path, string_split(content, chr(10)) AS ls FROM f), n AS (SELECT *, len(ls) AS total, list_transform(ls, lambda x: length(x) + 1) AS size FROM l),
+o AS (SELECT *, list_transform(range(0, total + 1), lambda i: coalesce(list_sum(size[1:i]), 0)) AS off FROM n),
+w AS (
+  SELECT file_path, 0 AS a, greatest(1, CAST(len(list_filter(off[1:least(51, total + 1)], lambda x: x <= off[1] + 481)) AS BIGINT) - 1) AS b FROM o
+  UNION ALL
+  SELECT file_path, g, least(total, greatest(g + 1, g + CAST(len(list_filter(off[g + 1:least(g + 51, total + 1)], lambda x: x <= off[g + 1] + 481)) AS BIGINT) - 1))
+  FROM (SELECT w.file_path, CASE WHEN w.b - 2 > w.a THEN w.b - 2 ELSE w.b END AS g, o.off, o.total FROM w JOIN o USING (file_path) WHERE w.b < o.total)
+)
+SELECT w.file_path, CAST(a + 1 AS INTEGER) AS start_line, CAST(b AS INTEGER) AS end_line, sha256(array_to_string(ls[a + 1:b], chr(10))) AS digest FROM w JOIN o USING (file_path)""")
 def token_limited_chunks(spark, sf_dir):
     return chunking.fit_chunks(_files(spark, sf_dir), limit=120).select("file_path", "start_line", "end_line", F.sha2("content", 256).alias("digest"))
 
@@ -494,17 +652,36 @@ def file_summaries(spark, sf_dir):
     return chunking.file_summaries(read_table(spark, sf_dir, "ast_nodes"))
 
 
-@query()
+_PARAGRAPH = r"""array_to_string(list_transform(string_split(string_split_regex(trim(regexp_replace(regexp_replace(trim(coalesce(docstring, '')), '^("{3}|['']{3})', ''), '("{3}|['']{3})$', '')), '\n[ \t]*\n')[1], chr(10)), lambda x: trim(x)), ' ')"""
+_SHORT = "CASE WHEN length(x) <= 2048 THEN x ELSE ' [truncated]' END"
+
+
+@query(rf"""WITH n AS (SELECT DISTINCT node_id, name, coalesce(content, '') AS content, docstring FROM ast_nodes WHERE lower(trim(node_type)) IN ('function', 'method') AND name IS NOT NULL),
+p AS (SELECT node_id, name, list_filter(list_transform(string_split(regexp_extract(content, '(?:def|function)\s+' || name || '\s*\(([^)]*)\)', 1), ','), lambda a: trim(string_split(trim(a), '=')[1])), lambda a: a NOT IN ('', 'self', 'cls')) AS ps,
+  trim(regexp_extract(string_split(content, chr(10))[1], '\)\s*->\s*([^:]+):', 1)) AS r, {_PARAGRAPH} AS d FROM n),
+t AS (SELECT node_id, 'Function `' || name || '`' || CASE WHEN len(ps) > 0 THEN ' takes parameters (' || array_to_string(ps, ', ') || ')' ELSE '' END || CASE WHEN r <> '' THEN ' and returns ' || r ELSE '' END || '.' || CASE WHEN d <> '' THEN ' ' || d ELSE '' END AS x FROM p)
+SELECT node_id, {_SHORT} AS content FROM t""")
 def function_summaries(spark, sf_dir):
     return chunking.function_summaries(_nodes(spark, sf_dir)).select("node_id", "content")
 
 
-@query()
+@query(rf"""WITH n AS (SELECT DISTINCT node_id, file_path, name, parent_name, start_line, coalesce(content, '') AS content, docstring, lower(trim(node_type)) AS t FROM ast_nodes),
+m AS (SELECT file_path, parent_name AS name, list(name ORDER BY coalesce(start_line, 0), node_id) AS ms FROM n WHERE t = 'method' AND parent_name IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT node_id, name, ms, list_filter(list_transform(string_split(regexp_extract(content, 'class\s+' || name || '\s*\(([^)]+)\)', 1), ','), lambda b: trim(string_split(trim(b), '[')[1])), lambda b: b <> '') AS bs, {_PARAGRAPH} AS d
+  FROM n LEFT JOIN m USING (file_path, name) WHERE t = 'class' AND name IS NOT NULL),
+t AS (SELECT node_id, 'Class `' || name || '`' || CASE WHEN len(bs) > 0 THEN ' extends ' || array_to_string(bs, ', ') ELSE '' END || '.' || CASE WHEN len(ms) > 0 THEN ' Methods: ' || array_to_string(ms, ', ') || '.' ELSE '' END || CASE WHEN d <> '' THEN ' ' || d ELSE '' END AS x FROM p)
+SELECT node_id, {_SHORT} AS content FROM t""")
 def class_summaries(spark, sf_dir):
     return chunking.class_summaries(read_table(spark, sf_dir, "ast_nodes")).select("node_id", "content")
 
 
-@query()
+@query(r"""WITH n AS (SELECT DISTINCT node_id, docstring AS d, content, lower(language) AS g FROM ast_nodes WHERE content IS NOT NULL),
+v AS (SELECT *, ltrim(d) AS h, regexp_replace(regexp_replace(regexp_replace(d, '(?m)^\s*/\*\*?', '', 'g'), '(?m)\*/\s*$', '', 'g'), '(?m)^[ \t]*\*[ \t]?', '', 'g') AS block, regexp_replace(d, '(?m)^\s*///[ \t]?', '', 'g') AS triple,
+  regexp_replace(d, '(?m)^\s*//[ \t]?', '', 'g') AS double, regexp_replace(regexp_replace(trim(d), '^("{3}|['']{3})', ''), '("{3}|['']{3})$', '') AS quoted FROM n),
+c AS (SELECT node_id, content, CASE WHEN g IN ('javascript', 'typescript', 'java') THEN block WHEN g IN ('c', 'cpp') THEN CASE WHEN starts_with(h, '///') THEN triple ELSE block END WHEN g = 'go' THEN double WHEN g = 'python' THEN quoted
+  WHEN starts_with(h, '/*') THEN block WHEN starts_with(h, '///') THEN triple WHEN starts_with(h, '//') THEN double WHEN regexp_matches(h, '^("{3}|['']{3})') THEN quoted ELSE d END AS x FROM v),
+p AS (SELECT node_id, content, coalesce(regexp_replace(regexp_replace(regexp_replace(x, '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g'), '') AS x FROM c)
+SELECT node_id, CAST(length(CASE WHEN x <> '' THEN x || chr(10) || '---' || chr(10) || content ELSE content END) AS INTEGER) AS n_chars, CAST(length(x) AS INTEGER) AS doc_chars FROM p""")
 def embedding_texts(spark, sf_dir):
     nodes = _nodes(spark, sf_dir).where("content is not null")
     full = text.embed_text(F.col("docstring"), F.col("content"), F.lower("language"))
