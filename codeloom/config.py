@@ -68,3 +68,10 @@ def load_settings(path: str | None = None, environment: dict[str, str] | None =
     env = os.environ if environment is None else environment
     found = {f.name: _parse(env[f"CODELOOM_{f.name.upper()}"], getattr(out, f.name)) for f in fields(Settings) if f"CODELOOM_{f.name.upper()}" in env}
     return replace(out, **found)
+
+
+def save_settings(settings: Settings, path: str) -> None:
+    """Write the settings as JSON, secrets left out; ``load_settings`` reads them back."""
+    kept = {k: v for k, v in asdict(settings).items() if not any(s in k.lower().split("_") for s in _SECRET)}
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(kept, file, indent=2, sort_keys=True)

@@ -32,6 +32,33 @@ REGISTRY = {
 EXTENSIONS = {ext: language for language, exts in REGISTRY.items() for ext in exts}
 
 
+def register_language(name: str, extensions: list[str]) -> None:
+    """Add a language, or extensions to one; an extension belongs to the language that was registered last."""
+    for ext in (e.lower() if e.startswith(".") else "." + e.lower() for e in extensions):
+        EXTENSIONS[ext] = name.strip().lower()
+
+
+def unregister_language(name: str) -> None:
+    for ext in [e for e, n in EXTENSIONS.items() if n == name.strip().lower()]:
+        del EXTENSIONS[ext]
+
+
+def load_registry(path: str) -> None:
+    """Replace the registry by a JSON (or, where PyYAML is there, YAML) file of language: [extensions]."""
+    with open(path, encoding="utf-8") as file:
+        if path.endswith((".yaml", ".yml")):
+            import yaml
+
+            given = yaml.safe_load(file)
+        else:
+            import json
+
+            given = json.load(file)
+    EXTENSIONS.clear()
+    for name, extensions in given.items():
+        register_language(name, extensions)
+
+
 def extension_of(path: Column) -> Column:
     """Lower-case suffix of the last path component, with its dot; empty where there is none (a leading dot is none)."""
     return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import UTC, datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -49,3 +54,28 @@ def failures(results: DataFrame, shown: int = 10) -> DataFrame:
 def rank_within(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
     """Rank from 1 inside each result list (lists of a search are short by their limit)."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+
+
+class Samples:
+    """A run's measurements: appended one by one, written as rows (kind, value, at); what is asked of them is a query."""
+
+    def __init__(self):
+        self._rows: list[tuple] = []
+
+    def record(self, kind: str, value: float) -> None:
+        self._rows.append((kind, float(value), datetime.now(UTC).replace(tzinfo=None)))
+
+    @contextmanager
+    def timed(self, kind: str) -> Iterator[None]:
+        """Record the milliseconds that the body takes, whether it ends well or not."""
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.record(kind, 1000 * (time.perf_counter() - began))
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self._rows, "kind string, value double, at timestamp")
+
+    def reset(self) -> None:
+        self._rows.clear()

@@ -11,8 +11,6 @@ from bisect import bisect_right
 
 _SKIP = re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`")
 _SKIP_SCRIPT = re.compile(_SKIP.pattern + r"|(?:(?<=[=(,:;!&|?\[])|(?<=[=(,:;!&|?\[] )|(?<=return ))/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
-#: What stands before a brace declares something only within so many characters.
-HEAD_CHARS = 4000
 _CONTROL = frozenset("if for while switch catch do else try finally synchronized return throw new case select with function".split())
 _CLASS = {
     "javascript": re.compile(r"\bclass\s+(?P<name>[\w$]+)(?:\s+extends\s+(?P<bases>[\w$.]+))?[^{};]*$"),
@@ -78,8 +76,21 @@ def _blocks(bare: str) -> list[tuple[int, int, int, str]]:
     return [b if b[2] >= 0 else (b[0], b[1], len(bare) - 1, b[3]) for b in out]
 
 
+#: A comment's score: base, up to so much for being near, for naming the symbol, for the marks of documentation.
+DOC_BASE, DOC_NEAR, DOC_NAMED, DOC_STYLE, DOC_LEAST, DOC_LINES = 0.5, 0.2, 0.2, 0.1, 0.5, 2
+
+
+def comment_score(comment: str, distance: int, name: str) -> float:
+    """How surely a comment that ends ``distance`` lines above a declaration, with no blank line between, documents it."""
+    if not 0 < distance <= DOC_LINES:
+        return 0.0
+    near = DOC_NEAR * (1 - (distance - 1) / DOC_LINES)
+    return min(1.0, DOC_BASE + near + DOC_NAMED * (bool(name) and name.lower() in comment.lower()) + DOC_STYLE * comment.lstrip().startswith(("/**", "///")))
+
+
 def _doc_above(text: str, line: int, name: str) -> str | None:
-    """The comment that ends on the line above ``line`` (1-based): a block comment, or the run of line comments."""
+    """The comment above ``line`` (1-based), annotations between allowed: a block comment or a run of line comments that
+    scores ``DOC_LEAST`` or more."""
     lines = text.split("\n")
     at = line - 2
     while at >= 0 and lines[at].strip().startswith("@"):
@@ -87,17 +98,18 @@ def _doc_above(text: str, line: int, name: str) -> str | None:
     if at < 0 or not lines[at].strip():
         return None
     last = lines[at].strip()
+    first = at
     if last.endswith("*/"):
-        first = at
-        while first >= 0 and "/*" not in lines[first]:
+        while first > 0 and "/*" not in lines[first]:
             first -= 1
-        return "\n".join(lines[max(0, first) : at + 1]).strip()
-    if last.startswith("//"):
-        first = at
+        found = "\n".join(lines[first : at + 1]).strip()
+    elif last.startswith("//"):
         while first > 0 and lines[first - 1].strip().startswith("//"):
             first -= 1
-        return "\n".join(x.strip() for x in lines[first : at + 1])
-    return None
+        found = "\n".join(x.strip() for x in lines[first : at + 1])
+    else:
+        return None
+    return found if comment_score(found, 1, name) >= DOC_LEAST else None
 
 
 def _symbols(text: str, language: str) -> list[tuple]:
@@ -109,7 +121,7 @@ def _symbols(text: str, language: str) -> list[tuple]:
     for start, brace, end, head in _blocks(bare):
         while open_ and open_[-1][0] < brace:
             open_.pop()
-        flat = re.sub(r"\s+", " ", head[-HEAD_CHARS:]).strip()
+        flat = re.sub(r"\s+", " ", head).strip()
         flat = flat.rsplit("; ", 1)[-1] if family != "go" else flat
         kind, name, owner, bases = "", "", None, []
         in_class = bool(open_) and open_[-1][1] == "class"

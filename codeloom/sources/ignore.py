@@ -92,6 +92,12 @@ def rules_of(files: dict[str, str], defaults: bool = True) -> list[Rule]:
     return [r for r in out if r]
 
 
+def rule_counts(files: dict[str, str], defaults: bool = True) -> dict[str, int]:
+    """Number of rules that count, by the folder of their ignore file (the defaults under their own name)."""
+    own = {folder or ".": len(rules_of({folder: text}, False)) for folder, text in files.items()}
+    return {"defaults": len(rules_of({}, True)), **own} if defaults else own
+
+
 def is_ignored(path: Column, rules: list[Rule]) -> Column:
     """Whether the last rule that matches the path, or one of the folders above it, ignores it.
 
