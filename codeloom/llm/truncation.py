@@ -218,28 +218,26 @@ def judge_ends(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     read = cut_lineage(distinct.mapInPandas(_read, _READ))
     facts = cut_lineage(read.where("fact is not null").groupBy(F.col("fact").alias("kind"), "key").agg(F.sum("n").alias("n")))
     ends = read.where("fact is null").select("h1", "h2", "verdict", "kind", "token", "keys")
-    tails = cut_lineage(join_split_hot(docs.drop("text"), ends, ["h1", "h2"], "inner").drop("h1", "h2"))
+    places = cut_lineage(docs.select("doc_id", "source", "n_chars", "h1", "h2", F.coalesce("source", F.lit("\x00")).alias("place")))
 
-    lengths = tails.groupBy(F.coalesce("source", F.lit("\x00")).alias("place"), "n_chars").agg(F.count(F.lit(1)).alias("n"))
+    lengths = places.groupBy("place", "n_chars").agg(F.count(F.lit(1)).alias("n"))
     totals = lengths.groupBy("place").agg(F.sum("n").alias("of"))
     limits = lengths.join(totals, "place").where((F.col("n") >= LIMIT_LEAST) & (F.col("n") >= LIMIT_SHARE * F.col("of"))).groupBy("place").agg(F.max("n_chars").alias("field_limit"))
 
-    total_texts = facts.where("kind = 'text'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    stops = facts.where("kind = 'stop'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total_texts, stops, items_seen = facts.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)) for k in ("text", "stop", "itemlen")]).first()
     # a masked last word is a slot only if no single filler makes up half of it
     lines = facts.where("kind = 'closer'").groupBy("kind", F.substring_index("key", "\x02", 1).alias("key")).agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.bool_or(F.instr("key", "\x02") > 0).alias("slot"))
     closers = lines.where((F.col("n") >= max(CLOSER_LEAST, CLOSER_SHARE * total_texts)) & (~F.col("slot") | (2 * F.col("top") <= F.col("n")))).select("kind", "key", "n")
-    items_seen = facts.where("kind = 'itemlen'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # an item may end without a mark if those of its length mostly do
     by_length = facts.where(F.col("kind").isin("itemlen", "itemdot")).groupBy("key").agg(F.sum(F.when(F.col("kind") == "itemlen", F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("kind") == "itemdot", F.col("n")).otherwise(0)).alias("dotted"))
     lengths_seen = by_length.where((F.col("n") >= ITEM_SHARE * items_seen) & (F.col("n") >= F.col("dotted"))).select(F.lit("itemlen").alias("kind"), "key", "n")
     shapes = facts.where((F.col("kind") == "stop") & (F.col("n") >= SHAPE_SHARE * stops))
 
-    # one row per distinct way to end that has to be looked up; the look-ups shuffle these, not the documents
-    asked = tails.where("verdict = 'ask'").select("kind", "token", "keys").distinct().withColumn("sig", F.sha2(F.to_json(F.struct("kind", "token", "keys")), 256))
-    looked = asked.select("sig", F.explode(F.transform("keys", lambda k: F.substring_index(k, "\x02", 1))).alias("key"), F.when(F.col("kind") == "full stop", "stop").when(F.col("kind") == "list item", "itemlen").otherwise("closer").alias("fact"))
+    # the look-ups are made per distinct text that asks for them
+    asked = ends.where("verdict = 'ask'")
+    looked = asked.select("h1", "h2", F.explode(F.transform("keys", lambda k: F.substring_index(k, "\x02", 1))).alias("key"), F.when(F.col("kind") == "full stop", "stop").when(F.col("kind") == "list item", "itemlen").otherwise("closer").alias("fact"))
     good = shapes.unionByName(closers).unionByName(lengths_seen).select(F.col("kind").alias("fact"), "key")
-    shared = looked.join(good, ["fact", "key"], "left_semi").select("sig").distinct().withColumn("shared", F.lit(True))
+    shared = join_split_hot(looked, good, ["fact", "key"], "left_semi").select("h1", "h2").distinct().withColumn("shared", F.lit(True))
 
     tokens = asked.where("token != ''").select("token").distinct()
     words = facts.where((F.col("kind") == "word") & (F.col("n") >= KNOWN)).select(F.col("key").alias("word"), "n")
@@ -249,16 +247,19 @@ def judge_ends(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     items = facts.where("kind = 'item'").select(F.col("key").alias("token"), F.col("n").alias("n_items"))
     known = tokens.join(trie, "token", "left").join(words.select(F.col("word").alias("token"), F.col("n").alias("n_word")), "token", "left").join(items, "token", "left").na.fill(0)
 
-    judged = asked.join(shared, "sig", "left").join(known, "token", "left")
+    judged = join_split_hot(asked.drop("keys").join(shared, ["h1", "h2"], "left"), known, "token", "left")
     looks = judged.select(
-        "sig",
+        "h1",
+        "h2",
+        "verdict",
+        "kind",
         F.coalesce("shared", F.lit(False)).alias("shared"),
         ((F.coalesce("n_word", F.lit(0)) == 0) & (F.coalesce("n_longer", F.lit(0)) > 0)).alias("part_of_word"),
         ((F.coalesce("n_items", F.lit(0)) > 0) & (F.coalesce("n_items", F.lit(0)) >= 0.001 * F.coalesce("n_word", F.lit(0)))).alias("ends_items"),
         (F.coalesce("n_word", F.lit(0)) > 0).alias("known_word"),
     )
-    signed = tails.withColumn("sig", F.when(F.col("verdict") == "ask", F.sha2(F.to_json(F.struct("kind", "token", "keys")), 256)))
-    full = join_split_hot(signed, looks, "sig", "left").withColumn("place", F.coalesce("source", F.lit("\x00")))
+    plain = ends.where("verdict != 'ask'").select("h1", "h2", "verdict", "kind", *[F.lit(False).alias(c) for c in ("shared", "part_of_word", "ends_items", "known_word")])
+    full = join_split_hot(places, looks.unionByName(plain), ["h1", "h2"], "inner")
     full = join_split_hot(full, limits, "place", "left")
     at_limit = F.coalesce((F.col("field_limit") - F.col("n_chars")).between(0, 2), F.lit(False))
     usual = F.col("shared") | F.lit(items_seen == 0)
