@@ -18,8 +18,9 @@ and compared in full; it is never collected or broadcast.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -64,6 +65,10 @@ def token_shape(token: str) -> str:
     return re.sub(r"\d+", "9", re.sub(r"[^\W\d_a-zß-ÿA-Z]+", "a", re.sub(r"[A-ZÀ-Þ]+", "A", re.sub(r"[a-zß-ÿ]+", "a", token))))
 
 
+#: Shapes of tokens seen lately; most full stops follow one of few words.
+_shape = lru_cache(maxsize=50_000)(token_shape)
+
+
 def closing_keys(line: str) -> list[str]:
     """The line in lower case with digits as 9, as it is and with each word and each pair of neighbours masked, as hashes.
 
@@ -163,15 +168,16 @@ def _item_before(lines: list[str]) -> str:
     return ""
 
 
-def facts_of(text: str, counts: Counter) -> None:
+def facts_of(text: str, counts: dict[str, Counter]) -> None:
+    """Add what the text tells to the counts of each kind of fact."""
     body = text.rstrip()
-    words = [w.lower() for w in _WORD.findall(body)]
+    words = _WORD.findall(body.lower())
     if words and body[-1:].isalpha():
         words.pop()
-    counts.update(("word", w) for w in words)
+    counts["word"].update(words)
     prose = _BLOCK.sub("", body)
     tokens = prose.split()
-    counts.update(("stop", token_shape(t)) for t in tokens[:-1] if t.endswith("."))
+    counts["stop"].update(_shape(t) for t in tokens[:-1] if t.endswith("."))
     lines = prose.split("\n")
     for line in lines[:-1]:
         item = _ITEM.match(line)
@@ -179,10 +185,10 @@ def facts_of(text: str, counts: Counter) -> None:
             continue
         length, tail = str(len(item.group(1).split())), _WORD.findall(item.group(1))
         if _SENTENCE.search(item.group(1).rstrip()):
-            counts[("itemdot", length)] += 1
+            counts["itemdot"][length] += 1
         elif tail:
-            counts[("item", tail[-1].lower())] += 1
-            counts[("itemlen", length)] += 1
+            counts["item"][tail[-1].lower()] += 1
+            counts["itemlen"][length] += 1
 
 
 _READ = "h1 bigint, h2 bigint, verdict string, kind string, token string, keys array<string>, fact string, key string, n bigint"
@@ -191,17 +197,17 @@ _READ = "h1 bigint, h2 bigint, verdict string, kind string, token string, keys a
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row per text on how it ends, and a row per fact of the batch; one pass."""
     for batch in batches:
-        counts: Counter = Counter()
+        counts: dict[str, Counter] = defaultdict(Counter)
         tails = []
         for h1, h2, text in zip(batch["h1"], batch["h2"], batch["text"], strict=True):
-            counts["text", ""] += 1
+            counts["text"][""] += 1
             facts_of(text, counts)
             tails.append((h1, h2, *tail_of(text)))
             if tails[-1][2] == "ask" and tails[-1][3] in ("ellipsis", "closing line"):
-                counts.update(("closer", k) for k in set(tails[-1][5]))
+                counts["closer"].update(set(tails[-1][5]))
         if tails:
             yield pd.DataFrame(tails, columns=["h1", "h2", "verdict", "kind", "token", "keys"]).assign(fact=None, key=None, n=pd.NA).astype({"n": "Int64"})
-            facts = pd.DataFrame({"fact": [k[0] for k in counts], "key": [k[1] for k in counts], "n": list(counts.values())})
+            facts = pd.concat([pd.DataFrame({"fact": kind, "key": list(own), "n": list(own.values())}) for kind, own in counts.items()], ignore_index=True)
             yield facts.assign(h1=pd.NA, h2=pd.NA, verdict=None, kind=None, token=None, keys=None).astype({"h1": "Int64", "h2": "Int64", "n": "Int64"})
 
 
