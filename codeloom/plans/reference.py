@@ -248,10 +248,26 @@ def grep_context_top(spark, sf_dir):
     return text_search.search_lines(rows, "nothing left to", case_sensitive=True).drop("chunk_id")
 
 
-@query()
+def _fuzzy_sql(pattern: str, limit: int) -> str:
+    """The greedy match, one step a character; a line drops out where a character is missing."""
+    n, steps = len(pattern), [f"f0 AS (SELECT file_path, line, t, lower(t) AS l, 0 AS pos, CAST({len(pattern)} AS DOUBLE) AS total FROM ({_TEXTS}) WHERE length(t) BETWEEN 1 AND 2000)"]
+    for k, c in enumerate(pattern.lower()):
+        here, before = "substr(t, p, 1)", "substr(t, p - 1, 1)"
+        begins = f"CASE WHEN p = 1 OR {before} IN ({', '.join(_quoted(x) for x in text.SEPARATORS)}) OR (regexp_matches({before}, '\\p{{Ll}}') AND regexp_matches({here}, '\\p{{Lu}}')) OR (regexp_matches({before}, '\\p{{Nd}}') AND regexp_matches({here}, '\\p{{L}}')) THEN 1 ELSE 0 END"
+        gain = f"2.0 * CAST(p = 1 AS INTEGER) + 2.0 * {begins} - 0.01 * (p - 1)" if k == 0 else f"0.5 * {begins} + CASE WHEN p = pos + 1 THEN 1.0 ELSE -0.05 * (p - pos - 1) END"
+        steps.append(f"f{k + 1} AS (SELECT file_path, line, t, l, p AS pos, total + CAST({gain} AS DOUBLE) AS total FROM (SELECT *, pos + strpos(substr(l, pos + 1), {_quoted(c)}) AS p FROM f{k} WHERE strpos(substr(l, pos + 1), {_quoted(c)}) > 0))")
+    most = n + 4.0 + 1.5 * (n - 1)
+    return f"WITH {', '.join(steps)}, s AS (SELECT file_path, line, least(1.0, greatest(0.0, total / {most})) AS score FROM f{n}) SELECT file_path, CAST(line AS INTEGER) AS match_line, round(score, 6) AS score FROM s WHERE score >= 0.6 ORDER BY round(score, 9) DESC, file_path, line LIMIT {limit}"
+
+
+def _quoted(c: str) -> str:
+    return f"chr({ord(c)})"
+
+
+@query(_fuzzy_sql("restorBckt", 20))
 def fuzzy_top(spark, sf_dir):
     """The 20 best fuzzy hits over every line of every file."""
-    return text_search.search_lines(_files(spark, sf_dir), "restorBckt", mode="fuzzy", limit=20).select("chunk_id", "file_path", "match_line", F.round("score", 6).alias("score"))
+    return text_search.search_lines(_files(spark, sf_dir), "restorBckt", mode="fuzzy", limit=20).select("file_path", "match_line", F.round("score", 6).alias("score"))
 
 
 # ------------------------------------------------------------------ vectors and merging
@@ -588,6 +604,15 @@ def graph_built_from_sources(spark, sf_dir):
     return metrics.count_by(kinds, "kind")
 
 
+@query("""WITH l AS (SELECT DISTINCT file_path, content FROM processed_files WHERE content IS NOT NULL), t AS (SELECT file_path, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line, unnest(string_split(content, chr(10))) AS x FROM l),
+r AS (SELECT file_path, line, CASE WHEN regexp_matches(file_path, '\\.java$') THEN regexp_extract(x, '^\\s*import\\s+(?:static\\s+)?([\\w.]+(?:\\.\\*)?)\\s*;', 1) WHEN regexp_matches(file_path, '\\.(c|h|cpp|cc|cxx|hpp|hxx)$') THEN regexp_extract(x, '^\\s*#\\s*include\\s*[<"]([^>"]+)[>"]', 1) ELSE '' END AS name FROM t)
+SELECT file_path, CAST(line AS INTEGER) AS line, name FROM r WHERE name <> ''""")
+def import_references(spark, sf_dir):
+    """What Java, C and C++ sources import, by the reference extractors."""
+    sources = _files(spark, sf_dir).where(F.col("file_path").rlike(r"\.(java|c|h|cpp|cc|cxx|hpp|hxx)$")).withColumn("language", detect_language(F.col("file_path")))
+    return parsing.references_of(parsing.parse_files(sources)).where("ref_type = 'import'").select("file_path", "line", "name")
+
+
 @query("""SELECT file_path, lower(node_type) AS node_type, name, count(DISTINCT node_id) AS n FROM ast_nodes WHERE file_path IN (SELECT file_path FROM processed_files) AND NOT (lower(node_type) = 'class' AND regexp_matches(file_path, '\\.[ch]$')) GROUP BY 1, 2, 3""")
 def parsed_definitions(spark, sf_dir):
     """Functions, methods and classes found by parsing the files that have rows in ast_nodes."""
