@@ -9,6 +9,7 @@ word.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,6 +85,17 @@ def _blocks(items: DataFrame, item_id: str, passage: str, block_words: int):
         yield [(r["item"], r["passage"]) for r in rows.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()]
 
 
+_SETS: dict = {}
+
+
+def _kept(name: str, shared) -> TestSet:
+    """The test set of a broadcast block, made once per worker process; the one before is let go."""
+    if name not in _SETS:
+        _SETS.clear()
+        _SETS[name] = TestSet(*shared.value)
+    return _SETS[name]
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", n: int = NGRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, n_windows): every pair that shares at least ``n`` consecutive words, with the number of shared windows.
 
@@ -96,10 +108,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     context = documents.sparkSession.sparkContext
     found = documents.sparkSession.createDataFrame([], schema)
     for rows in _blocks(items, item_id, passage, block_words):
-        shared = context.broadcast((rows, n))
+        shared, name = context.broadcast((rows, n)), uuid.uuid4().hex
 
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            tests = TestSet(*shared.value)
+        def scan(batches: Iterator[pd.DataFrame], shared=shared, name=name) -> Iterator[pd.DataFrame]:
+            tests = _kept(name, shared)
             for batch in batches:
                 counts: dict = {}
                 ids = batch["doc_id"].tolist()
@@ -120,10 +132,10 @@ def remove_leaks(documents: DataFrame, items: DataFrame, text: str = "text", ite
     """
     context = documents.sparkSession.sparkContext
     for rows in _blocks(items, item_id, passage, block_words):
-        shared = context.broadcast((rows, n))
+        shared, name = context.broadcast((rows, n)), uuid.uuid4().hex
 
-        def strip(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            tests = TestSet(*shared.value)
+        def strip(batches: Iterator[pd.DataFrame], shared=shared, name=name) -> Iterator[pd.DataFrame]:
+            tests = _kept(name, shared)
             for batch in batches:
                 texts = [t if isinstance(t, str) else "" for t in batch[text]]
                 spans: dict[int, list] = {}
