@@ -6,9 +6,10 @@ lengths of such items, shapes of tokens before a full stop inside a text, and cl
 *Tails* describe how each text ends. The verdict on a text:
 
 * cut, if its last token is an unknown proper prefix of known words (trie), unless a sentence mark follows it;
-* cut, if it stops where its source's field limit is, at no end that whole texts have (length);
 * cut, if what it has begun is open: a code block, a table row, a list item unlike others, a line that is neither a sentence
-  nor a closing line that many texts share nor a sign-off (structure);
+  nor a closing line that many texts share nor a sign-off (structure). Whether a list item of usual length is open depends on
+  the field limit of its source too (length); for all other ends a text at the limit is cut by structure alike, and the length
+  is named as evidence;
 * whole otherwise.
 
 The trie is a distributed table of words under their prefixes of up to ``TRIE_CHARS`` characters, joined to the last tokens
