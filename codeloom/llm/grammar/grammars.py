@@ -30,7 +30,9 @@ item: DASH | DASH NODE | DASH INDENT node DEDENT
 """
 
 SHELL = """
-file: NL* | clist
+file: script fragment* | fragment*
+script: NL+ | clist
+fragment: FRAGMENT ( NL* | clist ) FRAGMENT_END
 clist: sep* andor ( sep+ andor )* sep*
 sep: ';' | '&' | NL
 andor: pipeline ( ( '&&' | '||' ) NL* pipeline )*
@@ -96,7 +98,7 @@ grant: ( 'grant' | 'revoke' ) ( 'all' | 'select' | 'insert' | 'update' | 'delete
 """
 
 PYTHON = """
-file: statement*
+file: statement* ( FRAGMENT ( stars | yield ) FRAGMENT_END )*
 statement: simple ( ';' simple )* ';'? NEWLINE | compound | NEWLINE
 block: NEWLINE INDENT statement+ DEDENT | simple ( ';' simple )* ';'? NEWLINE
 simple: stars ( '=' ( stars | yield ) )* | stars augmented ( stars | yield ) | target ':' test ( '=' ( stars | yield ) )? | yield | 'pass' | 'break' | 'continue' | 'return' stars? | 'raise' ( test ( 'from' test )? )?
@@ -362,7 +364,7 @@ requirement: exprs ';' | 'typename' name ';' | '{' exprs '}' 'noexcept'? ( '->'
 """
 
 _SCRIPT = """
-file: item*
+file: item* ( FRAGMENT '...'? exprs FRAGMENT_END )*
 item: statement | import | export
 id: NAME | 'async' | 'of' | 'get' | 'set' | 'from' | 'as' | 'static' | 'let' | 'yield' | 'await' {ids}
 word: id | 'break' | 'case' | 'catch' | 'class' | 'const' | 'continue' | 'debugger' | 'default' | 'delete' | 'do' | 'else' | 'enum' | 'export' | 'extends' | 'false' | 'finally' | 'for' | 'function' | 'if' | 'import' | 'in' | 'instanceof' | 'new' | 'null' | 'return' | 'super' | 'switch' | 'this' | 'throw' | 'true' | 'try' | 'typeof' | 'var' | 'void' | 'while' | 'with'

@@ -23,10 +23,11 @@ _DSTR = r'"(?:\\[\s\S]|[^"\\\n])*"'
 _SSTR = r"'(?:\\[\s\S]|[^'\\\n])*'"
 
 
-def _scan(text: str, rules: list[tuple[str, str]], keywords: frozenset[str], names: str = "NAME"):
-    """(kind, start, end, on a new line) with white space and comments left out."""
+def _scan(text: str, rules: list[tuple[str, str]], keywords: frozenset[str], names: str = "NAME", at: int = 0, formatted=None):
+    """(kind, start, end, on a new line) with white space and comments left out. ``formatted`` gives the end of a string that
+    holds expressions, which is told by its opening."""
     master = re.compile("|".join(f"(?P<{n}>{p})" for n, p in rules))
-    at, fresh, n = 0, True, len(text)
+    fresh, n = True, len(text)
     match = master.match
     while at < n:
         m = match(text, at)
@@ -43,17 +44,28 @@ def _scan(text: str, rules: list[tuple[str, str]], keywords: frozenset[str], nam
             kind = word if word in keywords else names
         elif kind == "OP":
             kind = word
-        yield kind, m.start(), m.end(), fresh
+        elif kind == "FORMATTED":
+            kind, at = "STR", formatted(m.start(), word)
+        yield kind, m.start(), at, fresh
         fresh = False
 
 
+def _fragments(parts: list[tuple[int, list[tuple]]]) -> list[tuple]:
+    """Tokens of the expressions that stand inside strings and elements, to follow those of the text around them."""
+    out: list[tuple] = []
+    for at, tokens in parts:
+        out += [("FRAGMENT", at, True), *tokens, ("FRAGMENT_END", tokens[-1][1] if tokens else at, False)]
+    return out
+
+
 # ------------------------------------------------------------------ Python
 
 _PY_KEYWORDS = frozenset("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split())
 _PY = [
     ("SPACE", r"[ \t\f]+|\\\r?\n|#[^\n]*"),
     ("LINE", r"\r?\n|\r"),
-    ("STR", r'(?:[rRuUbBfFtT]|[rR][bBfFtT]|[bBfFtT][rR])?(?:"""(?:\\[\s\S]|[^\\])*?"""|\'\'\'(?:\\[\s\S]|[^\\])*?\'\'\'|"(?!"")(?:\\[\s\S]|[^"\\\n])*"|\'(?!\'\')(?:\\[\s\S]|[^\'\\\n])*\')'),
+    ("FORMATTED", r"""(?:[fFtT][rR]?|[rR][fFtT])(?:\"{3}|'{3}|["'])"""),
+    ("STR", r'(?:[rRuUbB]|[rR][bB]|[bB][rR])?(?:"""(?:\\[\s\S]|[^\\])*?"""|\'\'\'(?:\\[\s\S]|[^\\])*?\'\'\'|"(?!"")(?:\\[\s\S]|[^"\\\n])*"|\'(?!\'\')(?:\\[\s\S]|[^\'\\\n])*\')'),
     ("BAD", r"[\"']"),
     ("NUM", r"(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*\.?(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?![\w])"),
     ("WORD", _IDENT),
@@ -61,12 +73,72 @@ _PY = [
 ]
 
 
+def _formatted_end(text: str, begun: int, opening: str, parts: list) -> int:
+    """End of the formatted string that ``opening`` begins; its expressions go to ``parts``."""
+    quote = opening.lstrip("fFtTrR")
+    at, n = begun + len(opening), len(text)
+    while at < n:
+        c = text[at]
+        if c == "\\":
+            name = text.startswith("\\N{", at) and len(opening) - len(quote) == 1
+            at = max(text.find("}", at), at) + 1 if name else at + (1 if text[at + 1 : at + 2] in ("{", "}") else 2)
+        elif text.startswith(quote, at):
+            return at + len(quote)
+        elif text.startswith(("{{", "}}"), at):
+            at += 2
+        elif c == "{":
+            at = _field_end(text, at + 1, quote, parts)
+        elif c == "}":
+            raise LexError(at, "single '}' in a formatted string")
+        elif c == "\n" and len(quote) == 1:
+            break
+        else:
+            at += 1
+    raise LexError(begun, "unterminated literal or comment")
+
+
+def _field_end(text: str, begun: int, quote: str, parts: list) -> int:
+    tokens: list[tuple] = []
+    depth, at, n = 0, begun, len(text)
+    for kind, a, b, _ in _scan(text, _PY, _PY_KEYWORDS, at=begun, formatted=lambda start, opening: _formatted_end(text, start, opening, parts)):
+        at = b
+        if kind == "LINE":
+            continue
+        if depth == 0 and kind in ("}", "!", ":", ":="):
+            at = a
+            break
+        if depth == 0 and kind == "=" and re.compile(r"\s*[}!:]").match(text, b):
+            continue
+        depth += (kind in ("(", "[", "{")) - (kind in (")", "]", "}"))
+        tokens.append((kind, a, False))
+    if not tokens:
+        raise LexError(begun, "empty expression in a formatted string")
+    parts.append((begun, tokens))
+    conversion = re.compile(r"!\s*[rsa]\s*(?=[:}])|(?=[:}])").match(text, at)
+    if not conversion:
+        raise LexError(min(at, n - 1), "formatted string: '}' expected")
+    at = conversion.end()
+    if text[at] == ":":
+        at += 1
+        while at < n and text[at] != "}":
+            if text[at] == "{":
+                at = _field_end(text, at + 1, quote, parts)
+            elif text.startswith(quote, at):
+                break
+            else:
+                at += 1
+    if text[at : at + 1] != "}":
+        raise LexError(min(at, n - 1), "formatted string: '}' expected")
+    return at + 1
+
+
 def python_tokens(text: str) -> list[tuple]:
     out: list[tuple] = []
+    parts: list[tuple[int, list[tuple]]] = []
     indents, depth, start = [(0, 0)], 0, True
     opened: list[str] = []
     line_begin = True
-    for kind, a, b, _ in _scan(text, _PY, _PY_KEYWORDS):
+    for kind, a, b, _ in _scan(text, _PY, _PY_KEYWORDS, formatted=lambda start, opening: _formatted_end(text, start, opening, parts)):
         if kind == "LINE":
             if depth == 0 and not start:
                 out.append(("NEWLINE", a, True))
@@ -114,7 +186,7 @@ def python_tokens(text: str) -> list[tuple]:
     if not start:
         out.append(("NEWLINE", len(text), True))
     out += [("DEDENT", len(text), True)] * (len(indents) - 1)
-    return out
+    return out + _fragments(parts)
 
 
 # ------------------------------------------------------------------ JavaScript and TypeScript
@@ -189,24 +261,29 @@ def script_tokens(text: str, typed: bool = False, jsx: bool = True) -> list[tupl
     keywords = _TS_KEYWORDS if typed else _JS_KEYWORDS
     out: list[tuple] = []
     start = len(text[: text.find("\n") + 1] or text) if text.startswith("#!") else 0
-    _script(text, start, out, keywords, jsx, "")
-    return out
+    parts: list[tuple[int, list[tuple]]] = []
+    _script(text, start, out, keywords, jsx, "", parts)
+    return out + _fragments(parts)
 
 
-def _script(text: str, at: int, out: list, keywords: frozenset, jsx: bool, until: str) -> int:
-    """Appends tokens up to the brace that closes ``until`` (or to the end) and returns the position behind them."""
+def _script(text: str, at: int, out: list, keywords: frozenset, jsx: bool, until: str, parts: list) -> int:
+    """Appends tokens up to the brace that closes ``until`` (or to the end) and returns the position behind them; expressions
+    inside elements go to ``parts``."""
     n, fresh, braces = len(text), True, 0
     match = _JS.match
 
     def nested(a: int) -> int:
         inner: list[tuple] = []
-        return _script(text, a + 1, inner, keywords, jsx, "{")
+        end = _script(text, a + 1, inner, keywords, jsx, "{", parts)
+        if inner:  # braces may hold nothing but a comment
+            parts.append((a, inner))
+        return end
 
     while at < n:
         m = match(text, at)
         if m is None:
             if text[at] == "`":
-                at = _template(text, at, out, keywords, jsx, fresh)
+                at = _template(text, at, out, keywords, jsx, fresh, parts)
                 fresh = False
                 continue
             raise LexError(at, f"unexpected {text[at]!r}")
@@ -247,7 +324,7 @@ def _script(text: str, at: int, out: list, keywords: frozenset, jsx: bool, until
     return n
 
 
-def _template(text: str, at: int, out: list, keywords: frozenset, jsx: bool, fresh: bool) -> int:
+def _template(text: str, at: int, out: list, keywords: frozenset, jsx: bool, fresh: bool, parts: list) -> int:
     begun = at
     at += 1
     parts = False
@@ -261,7 +338,7 @@ def _template(text: str, at: int, out: list, keywords: frozenset, jsx: bool, fre
         elif text.startswith("${", at):
             out.append(("TPL_MID" if parts else "TPL_START", begun, fresh and not parts))
             parts = True
-            at = _script(text, at + 2, out, keywords, jsx, "{")
+            at = _script(text, at + 2, out, keywords, jsx, "{", parts)
         else:
             at += 1
     raise LexError(begun, "unterminated template")
@@ -464,13 +541,104 @@ def sql_tokens(text: str) -> list[tuple]:
 # ------------------------------------------------------------------ shell
 
 _SH_RESERVED = frozenset("if then else elif fi for while until do done case esac in function select time { } ! [[ ]]".split())
-_SH_WORD = re.compile(r"""(?:\\[\s\S]|'[^']*'|\$'(?:\\.|[^'\\])*'|"(?:\\[\s\S]|\$\((?:[^()"]|"[^"]*"|\((?:[^()]|\([^()]*\))*\))*\)|`[^`]*`|[^"\\`])*"|\$\(\((?:[^()]|\([^()]*\))*\)\)|\$\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)|\$\{(?:[^{}]|\{[^{}]*\})*\}|`[^`]*`|[<>]\((?:[^()]|\([^()]*\))*\)|[^\s;&|<>()'"`\\$]|\$)+""")
+_SH_PLAIN = re.compile(r"[^\s;&|<>()'\"`\\$]+")
 _SH_OP = re.compile(r"&&|\|\||;;&?|;&|&>>?|<<-|<<<|<<|>>|>&|<&|<>|>\||\|&|[;&|<>()]")
 
 
+def _sh_part(text: str, at: int, parts: list, quoted: bool) -> int:
+    """End of what a dollar sign or backquote begins at ``at``; the commands in it go to ``parts``."""
+    if text[at] == "`":
+        end = re.compile(r"`((?:\\[\s\S]|[^`\\])*)`").match(text, at)
+        if not end:
+            raise LexError(at, "unterminated quotation")
+        if "\\" not in end.group():
+            parts.append((at, _shell(text[: end.end() - 1], at + 1, parts, False)[0]))
+        return end.end()
+    if text.startswith("$((", at):
+        depth = 0
+        for m in re.compile(r"[()]").finditer(text, at):
+            depth += 1 if m.group() == "(" else -1
+            if depth == 1 and m.group() == ")" and text.startswith("))", m.start()):
+                return m.start() + 2
+            if depth == 0:
+                break
+    if text.startswith("$(", at):
+        tokens, end = _shell(text, at + 2, parts, True)
+        parts.append((at, tokens))
+        return end
+    if text.startswith("${", at):
+        begun, at = at, at + 2
+        while at < len(text):
+            c = text[at]
+            if c == "}":
+                return at + 1
+            if c == "\\":
+                at += 2
+            elif c == '"' or c == "'" and not quoted:
+                at = _sh_quoted(text, at, parts)
+            elif c == "`" or c == "$" and text[at + 1 : at + 2] in ("(", "{"):
+                at = _sh_part(text, at, parts, quoted)
+            else:
+                at += 1
+        raise LexError(begun, "'${' is not closed")
+    return at + 1
+
+
+def _sh_quoted(text: str, at: int, parts: list) -> int:
+    begun, n = at, len(text)
+    if text[at] == "'":
+        end = text.find("'", at + 1)
+        if end < 0:
+            raise LexError(begun, "unterminated quotation")
+        return end + 1
+    at += 1
+    while at < n:
+        c = text[at]
+        if c == '"':
+            return at + 1
+        at = at + 2 if c == "\\" else _sh_part(text, at, parts, True) if c in "$`" else at + 1
+    raise LexError(begun, "unterminated quotation")
+
+
+def _sh_word(text: str, at: int, parts: list) -> int:
+    begun, n = at, len(text)
+    while at < n:
+        c = text[at]
+        plain = _SH_PLAIN.match(text, at)
+        if plain:
+            at = plain.end()
+        elif c == "\\":
+            at = min(at + 2, n)
+        elif text.startswith("$'", at):
+            end = re.compile(r"\$'(?:\\[\s\S]|[^'\\])*'").match(text, at)
+            if not end:
+                raise LexError(at, "unterminated quotation")
+            at = end.end()
+        elif c in "'\"":
+            at = _sh_quoted(text, at, parts)
+        elif c in "$`":
+            at = _sh_part(text, at, parts, False)
+        elif c in "<>" and text.startswith("(", at + 1):
+            tokens, end = _shell(text, at + 2, parts, True)
+            parts.append((at, tokens))
+            at = end
+        else:
+            break
+    if at == begun:
+        raise LexError(at, "unterminated quotation")
+    return at
+
+
 def shell_tokens(text: str) -> list[tuple]:
+    parts: list[tuple[int, list[tuple]]] = []
+    return _shell(text, 0, parts, False)[0] + _fragments(parts)
+
+
+def _shell(text: str, at: int, parts: list, inside: bool) -> tuple[list[tuple], int]:
+    """Tokens, and the end of the text or, ``inside`` a substitution, the place behind its closing parenthesis."""
     out: list[tuple] = []
-    at, n, documents = 0, len(text), []
+    begun, n, documents = at, len(text), []
+    depth = 0
     command = True  # a reserved word is one only where a command may start
 
     def put(kind: str, a: int) -> None:
@@ -520,15 +688,19 @@ def shell_tokens(text: str) -> list[tuple]:
                 if kind in ("<", ">", ">>", ">&", "<&", "<>", ">|", "&>", "&>>", "<<<"):
                     put("REDIR", op.start())
                 else:
+                    if inside and kind == ")" and depth == 0:
+                        cases = sum((k == "case") - (k == "esac") for k, _, _ in out)
+                        if not cases:
+                            return out, at
+                    elif kind in ("(", ")"):
+                        depth = max(0, depth + (1 if kind == "(" else -1))
                     put(kind, op.start())
                     command = kind != ")"
                     if kind == ")":
                         command = True
                 continue
-            word = _SH_WORD.match(text, at)
-            if not word:
-                raise LexError(at, "unterminated quotation")
-            value, a, at = word.group(), at, word.end()
+            a, at = at, _sh_word(text, at, parts)
+            value = text[a:at]
             if re.fullmatch(r"\d+", value) and at < n and text[at] in "<>":
                 continue
             before = out[-1][0] if out else "NL"
@@ -561,7 +733,9 @@ def shell_tokens(text: str) -> list[tuple]:
                 command = before == "function"
     if documents:
         raise LexError(n, f"here-document {documents[0][0]!r} is not closed")
-    return out
+    if inside:
+        raise LexError(begun, "'(' is not closed")
+    return out, at
 
 
 # ------------------------------------------------------------------ YAML

@@ -182,10 +182,12 @@ def _paths(node: list, length: int, link: tuple | None) -> list[list]:
 
 class Recogniser:
     """Follows every action of the tables over a graph-structured stack; with ``inserts``, a missing ``;`` may be put in
-    before a token on a new line, before ``}`` and at the end, where nothing else continues."""
+    before a token on a new line, before ``}`` and at the end, where nothing else continues; with ``either``, a line end is read
+    both as a ``;`` and as nothing."""
 
-    def __init__(self, tables: dict, inserts: bool = False):
+    def __init__(self, tables: dict, inserts: bool = False, either: bool = False):
         self.action, self.goto, self.sizes, self.empty, self.inserts = tables["action"], tables["goto"], tables["sizes"], tables["empty"], inserts
+        self.either = either
 
     def _step(self, frontier: dict[int, list], kind: str) -> dict[int, list]:
         action, goto, sizes = self.action, self.goto, self.sizes
@@ -258,6 +260,13 @@ class Recogniser:
         frontier = {0: [0, []]}
         for i, (kind, _, fresh) in enumerate([*tokens, (END, 0, True)]):
             after = self._step(frontier, kind)
+            if self.either and fresh:
+                middle = self._step(frontier, ";")
+                for state, node in (self._step(middle, kind) if middle else {}).items():
+                    if state in after:
+                        after[state][1].extend(b for b in node[1] if not any(b is known for known in after[state][1]))
+                    else:
+                        after[state] = node
             if not after and self.inserts and (fresh or kind in ("}", END)):
                 middle = self._step(frontier, ";")
                 after = self._step(middle, kind) if middle else {}
